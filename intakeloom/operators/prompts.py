@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from intakeloom import fixed_values as fv
 from intakeloom.functions.text import preview
 from intakeloom.operators.classify import with_verdict
+from intakeloom.operators.pages import with_document_type
 
 INTENT_ANSWER = "Answer with one intent and a confidence from 0 to 1, separated by a comma."
 MAIL_ANSWER = "Answer with one JSON object with the keys: " + ", ".join(fv.MAIL_REPLY_DEFAULTS) + "."
@@ -56,10 +57,21 @@ def extraction_prompt(text: Column, instruction: str) -> Column:
     )
 
 
+def unsure_prompts(judged: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Prompts for judged documents the rules are not sure about, and only those."""
+    unsure = judged.filter(F.col("_valid") & (F.col("rule_confidence") <= fv.RULE_ACCEPT))
+    return unsure.select(key, intent_prompt(F.col(text), F.col("_format")).alias("prompt"))
+
+
 def intent_prompts(
     docs: DataFrame, key: str = "doc_id", text: str = "text", name: str | None = None
 ) -> DataFrame:
-    """Prompts for the documents the rules are not sure about, and only those."""
-    judged = with_verdict(docs, text, name)
-    unsure = judged.filter(F.col("_valid") & (F.col("rule_confidence") <= fv.RULE_ACCEPT))
-    return unsure.select(key, intent_prompt(F.col(text), F.col("_format")).alias("prompt"))
+    return unsure_prompts(with_verdict(docs, text, name), key, text)
+
+
+def page_prompts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Prompts for page texts; documents without text get none."""
+    typed = with_document_type(docs.withColumn("_lower", F.lower(text)), text)
+    return typed.filter("document_type != 'unknown'").select(
+        key, page_prompt(F.col(text), F.col("document_type")).alias("prompt")
+    )
