@@ -97,6 +97,12 @@ def has_any(text: Column, words: list[str]) -> Column:
     return test
 
 
+def lowered(text: Column) -> Column:
+    """Lower-cased text, '' for null: a value that is never null keeps the many
+    word tests over it free of null checks."""
+    return F.coalesce(F.lower(text), F.lit(""))
+
+
 def first_word_set(text: Column, word_sets: dict[str, list[str]]) -> Column:
     """Label of the first word set with a word that occurs in the text, else null."""
     result = None

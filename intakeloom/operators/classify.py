@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from intakeloom import fixed_values as fv
 from intakeloom.functions import jsontext, names
 from intakeloom.functions.keywords import best_label
-from intakeloom.functions.text import has_match, preview
+from intakeloom.functions.text import has_match, lowered, preview
 from intakeloom.operators.replies import intent_reply, one_reply_each
+from intakeloom.operators.stages import computed_once
 
 INVALID_INPUT = "Agent processing: Invalid input data"
 
@@ -22,28 +23,29 @@ def is_valid_input(text: Column) -> Column:
     return F.coalesce(F.length(text) > 0, F.lit(False))
 
 
-def mail_marks(lowered: Column) -> Column:
+def mail_marks(lower_text: Column) -> Column:
     """How many of the five e-mail marks the lower-cased text shows."""
     total = F.lit(0)
     for mark in fv.MAIL_MARKS:
-        total = total + has_match(lowered, mark).cast("int")
+        total = total + has_match(lower_text, mark).cast("int")
     return total
 
 
-def is_mail(lowered: Column) -> Column:
-    return F.coalesce(mail_marks(lowered) >= 2, F.lit(False))
+def is_mail(lower_text: Column) -> Column:
+    return F.coalesce(mail_marks(lower_text) >= 2, F.lit(False))
 
 
 def format_of_name(name: Column) -> Column:
     return names.lookup(names.extension(names.base_name(name)), fv.FORMAT_BY_EXTENSION)
 
 
-def format_of_content(text: Column, lowered: Column) -> Column:
-    return F.when(jsontext.is_json(text), "JSON").when(is_mail(lowered), "EMAIL").otherwise("TEXT")
+def format_of_content(text: Column, lower_text: Column) -> Column:
+    by_marks = F.when(is_mail(lower_text), "EMAIL").otherwise("TEXT")
+    return F.when(jsontext.is_json(text), "JSON").otherwise(by_marks)
 
 
 def detect_format(
-    text: Column, lowered: Column, name: Column | None = None, known: Column | None = None
+    text: Column, lower_text: Column, name: Column | None = None, known: Column | None = None
 ) -> Column:
     """Known format, else the name's extension, else what the content looks like.
 
@@ -59,12 +61,14 @@ def detect_format(
         if known is not None:
             by_name = F.when(F.coalesce(F.length(known), F.lit(0)) == 0, by_name)
         choices.append(by_name)
-    return F.coalesce(*choices, format_of_content(text, lowered))
+    return F.coalesce(*choices, format_of_content(text, lower_text))
 
 
-def with_rule_intent(docs: DataFrame, lowered: str) -> DataFrame:
+def with_rule_intent(docs: DataFrame, lower_text: str) -> DataFrame:
     """Add ``rule_intent`` and ``rule_confidence`` from the phrase lists."""
-    scored = docs.withColumn("_best", best_label(F.col(lowered), fv.INTENT_PHRASES, share=True))
+    scored = computed_once(
+        docs, "_best", best_label(F.col(lower_text), fv.INTENT_PHRASES, share=True)
+    )
     intent, confidence = fv.NO_RULE
     best = F.col("_best")
     found = best["score"] > 0
@@ -120,21 +124,16 @@ def with_verdict(
 ) -> DataFrame:
     """Add the columns of :data:`VERDICT` to the documents."""
     body = F.col(text)
-    lowered = docs.withColumn("_lower", F.lower(body))
+    ruled = with_rule_intent(docs.withColumn("_lower", lowered(body)), "_lower")
+    fmt = detect_format(
+        body,
+        F.col("_lower"),
+        F.col(name) if name else None,
+        F.col(known) if known else None,
+    )
     return (
-        with_rule_intent(lowered, "_lower")
-        .withColumns(
-            {
-                "_valid": is_valid_input(body),
-                "_format": detect_format(
-                    body,
-                    F.col("_lower"),
-                    F.col(name) if name else None,
-                    F.col(known) if known else None,
-                ),
-                "content_preview": preview(body),
-            }
-        )
+        computed_once(ruled, "_format", fmt)
+        .withColumns({"_valid": is_valid_input(body), "content_preview": preview(body)})
         .drop("_lower")
     )
 

@@ -13,6 +13,7 @@ from intakeloom.functions.text import (
     first_match,
     first_word_set,
     has,
+    lowered,
     null_if_empty,
     strip,
 )
@@ -113,9 +114,9 @@ def entities(docs: DataFrame, text: str = "text", phone_group: int = 0) -> DataF
     return docs.withColumns(entity_columns(F.col(text), phone_group))
 
 
-def urgency(lowered: Column) -> Column:
+def urgency(lower_text: Column) -> Column:
     """Level of the first word list with a hit; plain mail is ``medium``."""
-    return F.coalesce(first_word_set(lowered, fv.URGENCY_WORDS), F.lit("medium"))
+    return F.coalesce(first_word_set(lower_text, fv.URGENCY_WORDS), F.lit("medium"))
 
 
 # ------------------------------------------------------------------ confidence
@@ -164,7 +165,7 @@ def mail_facts(docs: DataFrame, text: str = "text", phone_group: int = 0) -> Dat
     found = header_fields(docs, text).withColumns(
         {
             **entity_columns(F.col(text), phone_group),
-            "urgency": urgency(F.lower(F.col(text))),
+            "urgency": urgency(lowered(F.col(text))),
             "mail_ok": is_valid_input(F.col(text)),
         }
     )

@@ -20,12 +20,14 @@ from intakeloom.functions.text import (
     has_any,
     let,
     line_count,
+    lowered,
     null_if_empty,
     regex,
     strip,
     word_count,
 )
 from intakeloom.operators.replies import one_reply_each, with_page_reply
+from intakeloom.operators.stages import computed_once
 
 # Documents longer than this many pages come as several consecutive parts.
 PAGES_PER_PART = 4096
@@ -145,11 +147,11 @@ def first_entities(text: Column, limit: int = 5, phone_group: int = 0) -> Column
 
 
 def with_document_type(
-    docs: DataFrame, text: str = "text", lowered: str = "_lower"
+    docs: DataFrame, text: str = "text", lower_text: str = "_lower"
 ) -> DataFrame:
     """Add ``document_type``: most keyword hits, ``general`` for none, ``unknown`` without text."""
-    scored = docs.withColumn(
-        "_best", best_label(F.col(lowered), fv.DOCUMENT_TYPE_WORDS, share=False)
+    scored = computed_once(
+        docs, "_best", best_label(F.col(lower_text), fv.DOCUMENT_TYPE_WORDS, share=False)
     )
     best = F.col("_best")
     return scored.withColumn(
@@ -195,10 +197,10 @@ def _rest_of_line(text: Column, pattern: str, limit: int | None = fv.FIELD_CHARS
     return F.left(found, F.lit(limit)) if limit else found
 
 
-def complaint_specifics(text: Column, lowered: Column) -> dict[str, Column]:
+def complaint_specifics(text: Column, lower_text: Column) -> dict[str, Column]:
     status = None
     for word in fv.COMPLAINT_STATUS_WORDS:
-        test = has(lowered, word)
+        test = has(lower_text, word)
         status = F.when(test, word) if status is None else status.when(test, word)
     return {
         "description": _rest_of_line(text, fv.COMPLAINT_DESCRIPTION),
@@ -230,44 +232,48 @@ def common_fields(text: Column, phone_group: int = 0) -> dict[str, Column]:
     }
 
 
-def fields_of(kind: str, text: Column, lowered: Column, phone_group: int = 0) -> Column:
-    """All fields of one document type as a struct; absent ones are null."""
+def fields_of(kind: str, text: Column, lower_text: Column) -> Column:
+    """The fields only this document type has, as a struct; absent ones are null."""
     found = pattern_fields(text, kind)
     if kind == "invoice":
         found |= invoice_specifics(text)
     elif kind == "complaint":
-        found |= complaint_specifics(text, lowered)
+        found |= complaint_specifics(text, lower_text)
     elif kind == "rfq":
         found |= rfq_specifics(text)
-    found |= common_fields(text, phone_group)
     return F.struct(*[value.alias(name) for name, value in found.items()])
 
 
 def with_fields(
-    docs: DataFrame, text: str = "text", lowered: str = "_lower", kind: str = "document_type"
+    docs: DataFrame, text: str = "text", lower_text: str = "_lower", kind: str = "document_type"
 ) -> DataFrame:
-    """Add one struct column per document type, filled for documents of that type.
+    """Add one struct column per document type and one for the fields types share.
 
-    Types without patterns (contract, general, unknown) get no fields at all.
+    Only the struct of a document's own type is filled.  Types without patterns
+    (contract, general, unknown) get no fields at all, not even shared ones.
     """
-    return docs.withColumns(
-        {
-            f"{name}_fields": F.when(
-                F.col(kind) == name, fields_of(name, F.col(text), F.col(lowered))
-            )
-            for name in fv.PAGE_FIELDS
-        }
-    )
+    columns = {
+        f"{name}_fields": F.when(
+            F.col(kind) == name, fields_of(name, F.col(text), F.col(lower_text))
+        )
+        for name in fv.PAGE_FIELDS
+    }
+    shared = F.struct(*[v.alias(name) for name, v in common_fields(F.col(text)).items()])
+    columns["common_fields"] = F.when(F.col(kind).isin(list(fv.PAGE_FIELDS)), shared)
+    return docs.withColumns(columns)
 
 
 def field_map() -> Column:
-    """The filled struct as ``map<string, variant>`` without its null fields."""
-    maps = [
-        variant_fields(F.to_variant_object(F.col(f"{name}_fields"))) for name in fv.PAGE_FIELDS
-    ]
+    """All filled fields as one ``map<string, variant>``."""
+
+    def entries(struct: str) -> Column:
+        return variant_fields(F.to_variant_object(F.col(struct)))
+
     empty = F.create_map().cast("map<string,variant>")
-    # to_variant_object keeps nulls as JSON null; those fields were not found
-    return F.map_filter(F.coalesce(*maps, empty), lambda _, v: ~F.is_variant_null(v))
+    own = F.coalesce(*[entries(f"{name}_fields") for name in fv.PAGE_FIELDS], empty)
+    both = F.map_concat(own, F.coalesce(entries("common_fields"), empty))
+    # null struct fields turn into JSON null: those were not found
+    return F.map_filter(both, lambda _, v: ~F.is_variant_null(v))
 
 
 # ---------------------------------------------------------------------- scores
@@ -317,12 +323,11 @@ FACTS = [*STATISTICS, "document_type", "page_fields"]
 
 def page_facts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Statistics, type and fields of each page text; the text itself is dropped."""
-    lowered = docs.withColumn("_lower", F.lower(text))
-    typed = with_text_statistics(with_document_type(lowered, text), text)
-    return (
-        with_fields(typed, text)
-        .withColumn("page_fields", field_map())
-        .drop(text, "_lower", *[f"{name}_fields" for name in fv.PAGE_FIELDS])
+    typed = with_document_type(docs.withColumn("_lower", lowered(F.col(text))), text)
+    typed = with_text_statistics(typed, text)
+    found = computed_once(with_fields(typed, text), "page_fields", field_map())
+    return found.drop(
+        text, "_lower", "common_fields", *[f"{name}_fields" for name in fv.PAGE_FIELDS]
     )
 
 

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from intakeloom.session import configure
+from intakeloom.sources.tables import table
 
 _DATE = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
 _KEY = "CAST(o_orderkey AS STRING)"
@@ -282,9 +282,10 @@ _TABLE = re.compile(r"<([a-z]+)>(?=[\s)]|$)")
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A view over the Parquet tables of a data folder."""
-    configure(spark)
     sql = ALL[name].replace("<binary>", "BINARY")
-    return spark.sql(_TABLE.sub(rf"parquet.`{folder.rstrip('/')}/\1.parquet`", sql))
+    for used in sorted(set(_TABLE.findall(sql))):
+        table(spark, folder, used).createOrReplaceTempView(f"intakeloom_{used}")
+    return spark.sql(_TABLE.sub(r"intakeloom_\1", sql))
 
 
 def oracle_view(name: str) -> str:

@@ -7,8 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from intakeloom.session import configure
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Redistribute a scan that comes in fewer splits than there are cores.
+
+    Text work is bound by CPU.  A small file is one split and would keep one
+    core busy; a large table has more splits than cores and is left alone, so
+    this adds no shuffle where it would cost anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
