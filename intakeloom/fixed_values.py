@@ -60,6 +60,9 @@ MAIL_MARKS = [
     r"dear\s+\w+",
     r"sincerely|regards|best\s+regards",
 ]
+# Words without which the mark of the same place cannot match; for "subject:"
+# and the sign-off the word alone decides.
+MAIL_MARK_WORDS = [["from:"], ["to:"], ["subject:"], ["dear"], ["sincerely", "regards"]]
 
 # Entities of e-mails.
 EMAIL_ADDRESS = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"

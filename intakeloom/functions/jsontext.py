@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intakeloom.functions.stages import computed_once
 from intakeloom.functions.text import let, strip
 
-_END = "@@end"
+# Closes the frame a text is parsed in; no document ends in it.
+_END = "\u241eend"
 
 
-def parse(text: Column) -> Column:
-    """The text as a VARIANT, or null unless the whole text is one JSON value.
+def framed(text: Column) -> Column:
+    """The text parsed as the first of two array elements, the second a known mark.
 
-    ``try_parse_json`` ignores what follows the first value, so the text is
-    parsed as the first of two array elements and the second is checked.
+    ``try_parse_json`` ignores what follows the first value; only when the
+    whole text is one value is the mark the second element.
     """
     body = strip(text)
-    framed = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_END}"]')))
-    items = F.when(
-        F.rlike(body, F.lit(r'^[\[{"\-0-9tfn]')), F.try_variant_get(framed, "$", "array<variant>")
-    )
+    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_END}"]')))
+    return F.when(F.rlike(body, F.lit(r'^[\[{"\-0-9tfn]')), whole)
+
+
+def value_of(frame: Column) -> Column:
+    """The value in a frame; null when the text was not exactly one JSON value."""
+    closed = (F.try_variant_get(frame, "$[1]", "string") == F.lit(_END)) & F.try_variant_get(
+        frame, "$[2]", "variant"
+    ).isNull()
+    return F.when(closed, F.try_variant_get(frame, "$[0]", "variant"))
 
-    def first_of_two(pair: Column) -> Column:
-        whole = (F.size(pair) == 2) & (
-            F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == F.lit(_END)
-        )
-        return F.when(whole, F.get(pair, F.lit(0)))
 
-    return let(items, first_of_two)
+def parse(text: Column) -> Column:
+    """The text as a VARIANT, or null unless the whole text is one JSON value."""
+    return let(framed(text), value_of)
+
+
+def with_parsed(rows: DataFrame, name: str, text: Column) -> DataFrame:
+    """Add the parsed text as a column; the text is parsed once per row."""
+    return (
+        computed_once(rows, "_frame", framed(text))
+        .withColumn(name, value_of(F.col("_frame")))
+        .drop("_frame")
+    )
 
 
 def is_json(text: Column) -> Column:

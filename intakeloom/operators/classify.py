@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from intakeloom import fixed_values as fv
 from intakeloom.functions import jsontext, names
 from intakeloom.functions.keywords import best_label
-from intakeloom.functions.text import has_match, lowered, preview
+from intakeloom.functions.text import has_any, has_match, lowered, preview
 from intakeloom.operators.replies import intent_reply, one_reply_each
-from intakeloom.operators.stages import computed_once
+from intakeloom.functions.stages import computed_once
 
 INVALID_INPUT = "Agent processing: Invalid input data"
 
@@ -26,8 +26,12 @@ def is_valid_input(text: Column) -> Column:
 def mail_marks(lower_text: Column) -> Column:
     """How many of the five e-mail marks the lower-cased text shows."""
     total = F.lit(0)
-    for mark in fv.MAIL_MARKS:
-        total = total + has_match(lower_text, mark).cast("int")
+    for words, mark in zip(fv.MAIL_MARK_WORDS, fv.MAIL_MARKS):
+        # a quick word test first: most texts need no regular expression
+        test = has_any(lower_text, words)
+        if not words[0].startswith(("subject", "sincerely")):
+            test = test & has_match(lower_text, mark)
+        total = total + test.cast("int")
     return total
 
 
@@ -39,29 +43,35 @@ def format_of_name(name: Column) -> Column:
     return names.lookup(names.extension(names.base_name(name)), fv.FORMAT_BY_EXTENSION)
 
 
-def format_of_content(text: Column, lower_text: Column) -> Column:
-    by_marks = F.when(is_mail(lower_text), "EMAIL").otherwise("TEXT")
-    return F.when(jsontext.is_json(text), "JSON").otherwise(by_marks)
-
-
-def detect_format(
-    text: Column, lower_text: Column, name: Column | None = None, known: Column | None = None
-) -> Column:
-    """Known format, else the name's extension, else what the content looks like.
+def with_format(
+    docs: DataFrame,
+    text: str = "text",
+    lower_text: str = "_lower",
+    name: str | None = None,
+    known: str | None = None,
+    to: str = "_format",
+) -> DataFrame:
+    """Add the format: known one, else by the name's extension, else by content.
 
-    A known format that is not one of ours goes straight to the content.  The
-    branches are evaluated in order, so content is read only when needed.
+    A known format that is not one of ours goes straight to the content, which
+    is read only where nothing else decided.
     """
     choices = []
     if known is not None:
         upper = F.upper(known)
         choices.append(F.when(upper.isin(fv.KNOWN_FORMATS), upper))
     if name is not None:
-        by_name = format_of_name(name)
+        by_name = format_of_name(F.col(name))
         if known is not None:
             by_name = F.when(F.coalesce(F.length(known), F.lit(0)) == 0, by_name)
         choices.append(by_name)
-    return F.coalesce(*choices, format_of_content(text, lower_text))
+    stated = F.coalesce(*choices) if choices else F.lit(None).cast("string")
+    undecided = docs.withColumn("_stated", stated)
+    open_text = F.when(F.col("_stated").isNull(), F.col(text))
+    read = jsontext.with_parsed(undecided, "_value", open_text)
+    by_marks = F.when(is_mail(F.col(lower_text)), "EMAIL").otherwise("TEXT")
+    fmt = F.coalesce("_stated", F.when(F.col("_value").isNotNull(), "JSON").otherwise(by_marks))
+    return computed_once(read, to, fmt).drop("_stated", "_value")
 
 
 def with_rule_intent(docs: DataFrame, lower_text: str) -> DataFrame:
@@ -125,14 +135,8 @@ def with_verdict(
     """Add the columns of :data:`VERDICT` to the documents."""
     body = F.col(text)
     ruled = with_rule_intent(docs.withColumn("_lower", lowered(body)), "_lower")
-    fmt = detect_format(
-        body,
-        F.col("_lower"),
-        F.col(name) if name else None,
-        F.col(known) if known else None,
-    )
     return (
-        computed_once(ruled, "_format", fmt)
+        with_format(ruled, text, "_lower", name, known)
         .withColumns({"_valid": is_valid_input(body), "content_preview": preview(body)})
         .drop("_lower")
     )

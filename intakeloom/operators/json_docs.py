@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from intakeloom import fixed_values as fv
 from intakeloom.functions import jsontext
-from intakeloom.operators.stages import computed_once
 
 INVALID_JSON = "Invalid JSON format"
 
@@ -21,7 +20,7 @@ def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
     ``inner`` is the object the fields are read from: the value of a single
     wrapper key when that value is an object, else the document itself.
     """
-    read = computed_once(docs, "value", jsontext.parse(F.col(text)))
+    read = jsontext.with_parsed(docs, "value", F.col(text))
     keyed = read.withColumn("entries", jsontext.fields(F.col("value")))
     wrapped = F.when(
         F.size("entries") == 1, jsontext.first_element(F.map_values("entries"))

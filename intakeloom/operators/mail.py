@@ -73,8 +73,12 @@ def header_fields(docs: DataFrame, text: str = "text") -> DataFrame:
             "body": body(F.col(text), F.col("_cut")),
         }
     )
+    first = f"(?Ud){fv.EMAIL_ADDRESS}"
     return lines.withColumns(
-        {"sender": address(F.col("_from")), "recipient": address(F.col("_to"))}
+        {
+            "sender": F.nullif(F.regexp_extract("_from", first, 0), F.lit("")),
+            "recipient": F.nullif(F.regexp_extract("_to", first, 0), F.lit("")),
+        }
     ).drop("_cut", "_from", "_to")
 
 

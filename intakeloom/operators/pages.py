@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from intakeloom import fixed_values as fv
 from intakeloom.functions.jsontext import fields as variant_fields
 from intakeloom.functions.keywords import best_label
+from intakeloom.functions.stages import computed_once
 from intakeloom.functions.text import (
     all_matches,
     count_matches,
-    first_match,
     has,
     has_any,
-    let,
     line_count,
     lowered,
     null_if_empty,
@@ -27,7 +26,6 @@ from intakeloom.functions.text import (
     word_count,
 )
 from intakeloom.operators.replies import one_reply_each, with_page_reply
-from intakeloom.operators.stages import computed_once
 
 # Documents longer than this many pages come as several consecutive parts.
 PAGES_PER_PART = 4096
@@ -165,83 +163,89 @@ def with_document_type(
 # ---------------------------------------------------------------------- fields
 
 
-def page_field(text: Column, pattern: str) -> Column:
-    """Group 1 of the first match, stripped; a blank first match counts as none."""
-    return null_if_empty(strip(first_match(text, pattern, 1, ignore_case=True, multiline=True)))
+def _first_group(text: Column, pattern: str) -> Column:
+    """Group 1 of the first match, '' when there is none."""
+    return F.regexp_extract(text, f"(?Udim){pattern}", 1)
 
 
-def pattern_fields(text: Column, kind: str) -> dict[str, Column]:
-    return {name: page_field(text, p) for name, p in fv.PAGE_FIELDS[kind].items()}
+def _cleaned(raw: Column) -> Column:
+    """A raw match stripped; a blank first match counts as none."""
+    return F.nullif(strip(raw), F.lit(""))
 
 
-def invoice_specifics(text: Column) -> dict[str, Column]:
-    """Up to ten priced item lines and the tax amount."""
-    lines = F.filter(
-        F.split(text, "\n"),
-        lambda line: F.rlike(line, regex(fv.ITEM_LINE_PRICE))
-        & has_any(F.lower(line), fv.ITEM_LINE_WORDS),
-    )
-    ten = F.transform(F.slice(lines, 1, 10), lambda line: strip(line))
-    # only texts with a price at all are cut into lines
-    items = F.when(F.rlike(text, regex(fv.ITEM_LINE_PRICE)), ten)
-    return {
-        "line_items": let(items, lambda i: F.when(F.size(i) > 0, i)),
-        "tax_amount": first_match(text, fv.INVOICE_TAX, 1, ignore_case=True),
-    }
-
-
-def _rest_of_line(text: Column, pattern: str, limit: int | None = fv.FIELD_CHARS) -> Column:
-    """Group 1 stripped and cut; '' when it was blank, null when nothing matched."""
-    flagged = {"ignore_case": True, "multiline": True}
-    found = strip(first_match(text, pattern, 1, **flagged))
+def _rest_of_line(raw: Column, limit: int | None = None) -> Column:
+    """A raw match stripped and cut: '' when it was blank, null when nothing matched."""
+    found = strip(F.nullif(raw, F.lit("")))
     return F.left(found, F.lit(limit)) if limit else found
 
 
-def complaint_specifics(text: Column, lower_text: Column) -> dict[str, Column]:
-    status = None
-    for word in fv.COMPLAINT_STATUS_WORDS:
-        test = has(lower_text, word)
-        status = F.when(test, word) if status is None else status.when(test, word)
-    return {
-        "description": _rest_of_line(text, fv.COMPLAINT_DESCRIPTION),
-        "status": status,
-    }
+def _filled(found: Column, limit: int) -> Column:
+    """The first few elements, null when there is none."""
+    return F.when(F.size(found) > 0, F.slice(found, 1, limit))
 
 
-def rfq_specifics(text: Column) -> dict[str, Column]:
-    return {
-        "requirements": _rest_of_line(text, fv.RFQ_REQUIREMENTS),
-        "delivery_terms": _rest_of_line(text, fv.RFQ_DELIVERY, None),
-    }
+def raw_matches(kind: str, text: Column, lower_text: Column) -> dict[str, Column]:
+    """What the text of one document type is searched for."""
+    raw = {name: _first_group(text, p) for name, p in fv.PAGE_FIELDS[kind].items()}
+    if kind == "invoice":
+        # only texts with a price at all are cut into lines
+        lines = F.filter(
+            F.split(text, "\n"),
+            lambda line: F.rlike(line, regex(fv.ITEM_LINE_PRICE))
+            & has_any(F.lower(line), fv.ITEM_LINE_WORDS),
+        )
+        raw["line_items"] = F.when(F.rlike(text, regex(fv.ITEM_LINE_PRICE)), lines)
+        raw["tax_amount"] = _first_group(text, fv.INVOICE_TAX)
+    elif kind == "complaint":
+        status = None
+        for word in fv.COMPLAINT_STATUS_WORDS:
+            test = has(lower_text, word)
+            status = F.when(test, word) if status is None else status.when(test, word)
+        raw["description"] = _first_group(text, fv.COMPLAINT_DESCRIPTION)
+        raw["status"] = status
+    elif kind == "rfq":
+        raw["requirements"] = _first_group(text, fv.RFQ_REQUIREMENTS)
+        raw["delivery_terms"] = _first_group(text, fv.RFQ_DELIVERY)
+    return raw
 
 
-def common_fields(text: Column, phone_group: int = 0) -> dict[str, Column]:
-    """Distinct addresses and phones (five), street addresses and companies (three)."""
+def clean_match(name: str, raw: Column) -> Column:
+    """The field a raw match stands for."""
+    if name == "line_items":
+        return F.transform(_filled(raw, 10), lambda line: strip(line))
+    if name in ("description", "requirements"):
+        return _rest_of_line(raw, fv.FIELD_CHARS)
+    if name == "delivery_terms":
+        return _rest_of_line(raw)
+    if name in ("tax_amount", "status"):
+        return F.nullif(raw, F.lit(""))
+    return _cleaned(raw)
 
-    def some(found: Column, limit: int) -> Column:
-        return let(found, lambda f: F.when(F.size(f) > 0, F.slice(f, 1, limit)))
 
-    emails = F.array_distinct(all_matches(text, fv.EMAIL_ADDRESS, only_if=has(text, "@")))
-    phones = F.array_distinct(all_matches(text, fv.PAGE_PHONE, phone_group))
-    companies = all_matches(text, fv.COMPANY_NAME, 1, ignore_case=True)
+def raw_common(text: Column, phone_group: int = 0) -> dict[str, Column]:
     return {
-        "emails": some(emails, 5),
-        "phone_numbers": some(phones, 5),
-        "addresses": some(all_matches(text, fv.STREET_ADDRESS), 3),
-        "companies": some(F.transform(companies, lambda c: strip(c)), 3),
+        "emails": all_matches(text, fv.EMAIL_ADDRESS, only_if=has(text, "@")),
+        "phone_numbers": all_matches(text, fv.PAGE_PHONE, phone_group),
+        "addresses": all_matches(text, fv.STREET_ADDRESS),
+        "companies": all_matches(text, fv.COMPANY_NAME, 1, ignore_case=True),
     }
 
 
-def fields_of(kind: str, text: Column, lower_text: Column) -> Column:
-    """The fields only this document type has, as a struct; absent ones are null."""
-    found = pattern_fields(text, kind)
-    if kind == "invoice":
-        found |= invoice_specifics(text)
-    elif kind == "complaint":
-        found |= complaint_specifics(text, lower_text)
-    elif kind == "rfq":
-        found |= rfq_specifics(text)
-    return F.struct(*[value.alias(name) for name, value in found.items()])
+def clean_common(name: str, raw: Column) -> Column:
+    """Five distinct addresses or phones, three street addresses or companies."""
+    if name in ("emails", "phone_numbers"):
+        return _filled(F.array_distinct(raw), 5)
+    some = _filled(raw, 3)
+    return F.transform(some, lambda c: strip(c)) if name == "companies" else some
+
+
+def with_common_fields(docs: DataFrame, text: str = "text", phone_group: int = 0) -> DataFrame:
+    """Add the four fields all types share."""
+    raw = raw_common(F.col(text), phone_group)
+    found = docs.withColumns({f"_raw_{name}": value for name, value in raw.items()})
+    return found.withColumns(
+        {name: clean_common(name, F.col(f"_raw_{name}")) for name in raw}
+    ).drop(*[f"_raw_{name}" for name in raw])
 
 
 def with_fields(
@@ -251,16 +255,23 @@ def with_fields(
 
     Only the struct of a document's own type is filled.  Types without patterns
     (contract, general, unknown) get no fields at all, not even shared ones.
+    Matches are taken in one stage and cleaned in the next, so that each
+    pattern runs once.
     """
-    columns = {
-        f"{name}_fields": F.when(
-            F.col(kind) == name, fields_of(name, F.col(text), F.col(lower_text))
-        )
-        for name in fv.PAGE_FIELDS
-    }
-    shared = F.struct(*[v.alias(name) for name, v in common_fields(F.col(text)).items()])
-    columns["common_fields"] = F.when(F.col(kind).isin(list(fv.PAGE_FIELDS)), shared)
-    return docs.withColumns(columns)
+    raw: dict[str, Column] = {}
+    cleaned: dict[str, Column] = {}
+    for name in fv.PAGE_FIELDS:
+        mine = F.col(kind) == name
+        matches = raw_matches(name, F.col(text), F.col(lower_text))
+        raw |= {f"_{name}_{field}": F.when(mine, value) for field, value in matches.items()}
+        fields = [clean_match(f, F.col(f"_{name}_{f}")).alias(f) for f in matches]
+        cleaned[f"{name}_fields"] = F.when(mine, F.struct(*fields))
+    some_kind = F.col(kind).isin(list(fv.PAGE_FIELDS))
+    shared = raw_common(F.col(text))
+    raw |= {f"_all_{field}": F.when(some_kind, value) for field, value in shared.items()}
+    fields = [clean_common(f, F.col(f"_all_{f}")).alias(f) for f in shared]
+    cleaned["common_fields"] = F.when(some_kind, F.struct(*fields))
+    return docs.withColumns(raw).withColumns(cleaned).drop(*raw)
 
 
 def field_map() -> Column:

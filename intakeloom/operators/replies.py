@@ -177,7 +177,7 @@ def with_mail_reply(rows: DataFrame, response: Column) -> DataFrame:
     reply that is no object counts as no reply; any other text is searched for
     sentiment and intent.
     """
-    read = rows.withColumn("_value", jsontext.parse(without_fences(response))).withColumn(
+    read = jsontext.with_parsed(rows, "_value", without_fences(response)).withColumn(
         "_entries", jsontext.fields(F.col("_value"))
     )
     value, entries = F.col("_value"), F.col("_entries")
@@ -206,7 +206,7 @@ def with_page_reply(rows: DataFrame, response: Column) -> DataFrame:
     ``reply_fields`` is the ``extracted_fields`` object as ``map<string,
     variant>``; text that is not JSON is kept as ``raw_response``.
     """
-    read = rows.withColumn("_value", jsontext.parse(response)).withColumn(
+    read = jsontext.with_parsed(rows, "_value", response).withColumn(
         "_entries", jsontext.fields(F.col("_value"))
     )
     entries = F.col("_entries")

@@ -66,21 +66,17 @@ def mail_marks(spark, folder):
     f"SELECT doc_id, {o.content_format('text', 'lower(text)')} AS format FROM {MIXED}",
 )
 def content_format(spark, folder):
-    text = F.col("text")
-    return view(spark, folder, "mixed").select(
-        "doc_id", classify.format_of_content(text, F.lower(text)).alias("format")
-    )
+    return _formats(spark, folder).select("doc_id", "format")
+
+
+def _formats(spark, folder, name=None, known=None, table="mixed"):
+    docs = view(spark, folder, table).withColumn("_lower", F.lower("text"))
+    return classify.with_format(docs, name=name, known=known, to="format")
 
 
 @query("c06_known_format", f"SELECT doc_id, fmt AS format FROM {DETECTED}")
 def known_format(spark, folder):
-    text = F.col("text")
-    return view(spark, folder, "mixed").select(
-        "doc_id",
-        classify.detect_format(text, F.lower(text), F.col("source"), F.col("known")).alias(
-            "format"
-        ),
-    )
+    return _formats(spark, folder, "source", "known").select("doc_id", "format")
 
 
 @query(
@@ -135,11 +131,9 @@ def arbitration(spark, folder):
         FROM (SELECT {o.AGENT} AS target_agent FROM {DETECTED}) GROUP BY target_agent""",
 )
 def routing(spark, folder):
-    text = F.col("text")
-    fmt = classify.detect_format(text, F.lower(text), F.col("source"), F.col("known"))
     return (
-        view(spark, folder, "mixed")
-        .select(classify.target_agent(fmt).alias("target_agent"))
+        _formats(spark, folder, "source", "known")
+        .select(classify.target_agent(F.col("format")).alias("target_agent"))
         .groupBy("target_agent")
         .agg(F.count("*").alias("documents"))
     )
@@ -328,15 +322,9 @@ _FILES = f"(SELECT *, CAST(NULL AS STRING) AS known FROM {o.source('files')})"
           {o.case_map(o.extension('source'), fv.MIME_BY_EXTENSION)} AS mime FROM {_FILES})""",
 )
 def rerouted(spark, folder):
-    text = F.col("text")
-    fmt = classify.format_of_content(text, F.lower(text))
-    return (
-        view(spark, folder, "files")
-        .withColumn("_format", fmt)
-        .select(
-            "doc_id",
-            classify.reroute(F.col("_format"), names.mime_type(F.col("source"))).alias("route"),
-        )
+    mime = names.mime_type(F.col("source"))
+    return _formats(spark, folder, table="files").select(
+        "doc_id", classify.reroute(F.col("format"), mime).alias("route")
     )
 
 

@@ -175,16 +175,15 @@ def common_fields(spark, folder):
     prose = tables.table(spark, folder, "documents").select(
         F.lit("prose").alias("kind"), "doc_id", "text"
     )
-    found = pages.common_fields(F.col("text"))
-    return papers.union(prose).select(
-        "kind", "doc_id", *[joined(value).alias(n) for n, value in found.items()]
-    )
+    found = pages.with_common_fields(papers.union(prose))
+    return found.select("kind", "doc_id", *[joined(n).alias(n) for n in o.COMMON])
 
 
 @query(
     "p14_types_without_fields",
-    f"""SELECT document_type, count(*) AS documents, CAST(sum({o.FIELD_COUNT}) AS BIGINT) AS fields
-        FROM {FIELDS} GROUP BY document_type""",
+    f"""WITH counted AS MATERIALIZED (SELECT document_type, {o.FIELD_COUNT} AS n FROM {FIELDS})
+        SELECT document_type, count(*) AS documents, CAST(sum(n) AS BIGINT) AS fields
+        FROM counted GROUP BY document_type""",
 )
 def types_without_fields(spark, folder):
     return (
