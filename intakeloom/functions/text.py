@@ -7,6 +7,7 @@ same as in the rules they come from.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -26,6 +27,24 @@ def regex(pattern: str, ignore_case: bool = False, multiline: bool = False) -> C
     return F.lit(f"(?{flags}){pattern}")
 
 
+_WORD_CHOICE = re.compile(r"^\(\?:((?:[a-z][^()]*\|)*[a-z][^()]*)\)")
+
+
+def quick(pattern: str, first: str | None = None) -> str:
+    """The pattern behind a look-ahead for the characters a match can start with.
+
+    It changes no match; most positions of a text fail on one character test
+    instead of on every alternative.  For a pattern that opens with a choice of
+    words the characters are the words' first letters.
+    """
+    if first is None:
+        words = _WORD_CHOICE.match(pattern)
+        if not words:
+            return pattern
+        first = "".join(sorted({word[0] for word in words.group(1).split("|")}))
+    return f"(?=[{first}]){pattern}"
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

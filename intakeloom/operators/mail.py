@@ -15,16 +15,18 @@ from intakeloom.functions.text import (
     has,
     lowered,
     null_if_empty,
+    quick,
     strip,
 )
 from intakeloom.operators.replies import one_reply_each, with_mail_reply
 
+# What a phone number can start with.
+PHONE_START = r"+(\d"
+
 INVALID_INPUT = "Agent processing: Invalid email input"
 
 # The first line with nothing but blanks ends the headers.
 BLANK_LINE = r"(?Udm)^[^\S\n]*\n"
-# Blanks at the edges of lines; a run is looked at once only.
-LINE_EDGES = r"(?Udm)^[^\S\n]++|(?<![^\S\n])[^\S\n]++$"
 
 
 def is_valid_input(text: Column) -> Column:
@@ -58,7 +60,8 @@ def sections(text: Column) -> Column:
 
 def body(text: Column, cut: Column) -> Column:
     rest = F.get(cut, F.lit(1))
-    return F.when(rest.isNull(), text).otherwise(F.regexp_replace(rest, LINE_EDGES, ""))
+    lines = F.transform(F.split(rest, "\n"), lambda line: strip(line))
+    return F.when(rest.isNull(), text).otherwise(F.array_join(lines, "\n"))
 
 
 def header_fields(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -88,12 +91,12 @@ def emails(text: Column) -> Column:
 
 def phones(text: Column, group: int = 0) -> Column:
     """Distinct phone numbers; ``group=1`` gives the country prefixes instead."""
-    return F.array_distinct(all_matches(text, fv.MAIL_PHONE, group))
+    return F.array_distinct(all_matches(text, quick(fv.MAIL_PHONE, PHONE_START), group))
 
 
 def dates(text: Column) -> Column:
     slashed = has(text, "/") | has(text, "-")
-    return F.array_distinct(all_matches(text, fv.MAIL_DATE, only_if=slashed))
+    return F.array_distinct(all_matches(text, quick(f"(?:{fv.MAIL_DATE})", r"\d"), only_if=slashed))
 
 
 def amounts(text: Column) -> Column:
@@ -101,7 +104,7 @@ def amounts(text: Column) -> Column:
 
 
 def references(text: Column) -> Column:
-    return F.array_distinct(all_matches(text, fv.MAIL_REFERENCE, 1, ignore_case=True))
+    return F.array_distinct(all_matches(text, quick(fv.MAIL_REFERENCE), 1, ignore_case=True))
 
 
 def entity_columns(text: Column, phone_group: int = 0) -> dict[str, Column]:

@@ -21,12 +21,15 @@ from intakeloom.functions.text import (
     line_count,
     lowered,
     null_if_empty,
+    quick,
     regex,
     strip,
     word_count,
 )
 from intakeloom.operators.replies import one_reply_each, with_page_reply
 
+# What a phone number can start with.
+PHONE_START = r"+(\d"
 # Documents longer than this many pages come as several consecutive parts.
 PAGES_PER_PART = 4096
 
@@ -91,8 +94,8 @@ def table_shapes(pages: DataFrame, keys: list[str], tables: str = "tables") -> D
 def _entity_tests(text: Column) -> dict[str, tuple[str, Column | None, bool]]:
     return {
         "emails": (fv.EMAIL_ADDRESS, has(text, "@"), True),
-        "phones": (fv.PAGE_PHONE, None, False),
-        "dates": (fv.PAGE_DATE, has(text, "/") | has(text, "-"), False),
+        "phones": (quick(fv.PAGE_PHONE, PHONE_START), None, False),
+        "dates": (quick(f"(?:{fv.PAGE_DATE})", r"\d"), has(text, "/") | has(text, "-"), False),
         "currencies": (fv.PAGE_CURRENCY, has(text, "$"), False),
     }
 
@@ -165,7 +168,7 @@ def with_document_type(
 
 def _first_group(text: Column, pattern: str) -> Column:
     """Group 1 of the first match, '' when there is none."""
-    return F.regexp_extract(text, f"(?Udim){pattern}", 1)
+    return F.regexp_extract(text, f"(?Udim){quick(pattern)}", 1)
 
 
 def _cleaned(raw: Column) -> Column:
@@ -225,9 +228,9 @@ def clean_match(name: str, raw: Column) -> Column:
 def raw_common(text: Column, phone_group: int = 0) -> dict[str, Column]:
     return {
         "emails": all_matches(text, fv.EMAIL_ADDRESS, only_if=has(text, "@")),
-        "phone_numbers": all_matches(text, fv.PAGE_PHONE, phone_group),
-        "addresses": all_matches(text, fv.STREET_ADDRESS),
-        "companies": all_matches(text, fv.COMPANY_NAME, 1, ignore_case=True),
+        "phone_numbers": all_matches(text, quick(fv.PAGE_PHONE, PHONE_START), phone_group),
+        "addresses": all_matches(text, quick(fv.STREET_ADDRESS, r"\d")),
+        "companies": all_matches(text, quick(fv.COMPANY_NAME), 1, ignore_case=True),
     }
 
 
