@@ -279,12 +279,26 @@ def statistics(records: DataFrame) -> DataFrame:
     for set_id, name in kept.items():
         facet = F.when(F.col("_set") == set_id, name).otherwise(facet)
         value = F.when(F.col("_set") == set_id, F.col(name)).otherwise(value)
-    return grouped.select(
+    counted = grouped.select(
         facet.alias("facet"),
         value.alias("value"),
         "count",
         F.when(F.col("_set") == 7, F.col("_mean")).alias("avg_processing_time"),
     )
+    # grouping sets give no total for an empty ledger, so a zero is added in
+    zero = records.sparkSession.range(1).select(
+        F.lit("total").alias("facet"),
+        F.lit(None).cast("string").alias("value"),
+        F.lit(0).cast("bigint").alias("count"),
+        F.lit(0.0).alias("avg_processing_time"),
+    )
+    return (
+        counted.unionByName(zero)
+        .groupBy("facet", "value")
+        .agg(
+            F.sum("count").alias("count"), F.max("avg_processing_time").alias("avg_processing_time")
+        )
+    )
 
 
 def dashboard(records: DataFrame) -> DataFrame:

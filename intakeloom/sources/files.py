@@ -61,9 +61,8 @@ def with_text(files: DataFrame, content: str = "content") -> DataFrame:
 def whole_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Each file as one text, line-separated JSON included."""
     return (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", glob)
-        .text(path)
+        spark.read.option("pathGlobFilter", glob)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
     )
 
