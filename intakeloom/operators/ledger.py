@@ -213,7 +213,7 @@ def by_id(ledger: DataFrame, record: str) -> DataFrame:
 
 
 def by_ids(ledger: DataFrame, ids: DataFrame) -> DataFrame:
-    return latest(ledger).join(ids.select("id").distinct(), "id", "left_semi")
+    return latest(ledger).join(ids.select("id"), "id", "left_semi")
 
 
 def by_status(records: DataFrame, status: str) -> DataFrame:

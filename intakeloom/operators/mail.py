@@ -257,6 +257,8 @@ def message_parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             *[c for c in docs.columns if c != text],
             F.posexplode(F.slice("_pieces", 2, F.size("_pieces"))).alias("part_no", "_part"),
         )
+        # what follows a closing delimiter is no part
+        .filter(F.length(strip(F.col("_part"))) > 0)
     )
     cut = pieces.withColumn("_cut", F.split(F.col("_part"), r"(?dm)^[ \t]*\n", 2))
     headers = F.regexp_replace(F.get("_cut", F.lit(0)), r"\n[ \t]+", " ")

@@ -205,9 +205,8 @@ def confidence(spark, folder):
 
 
 _TYPE = (
-    "CASE substr(plain, length(plain) - 0, 0) WHEN '' THEN CASE "
-    "WHEN contains(text, 'application/pdf') THEN 'application/pdf' "
-    "WHEN contains(text, 'application/x-pdf') THEN 'application/x-pdf' ELSE 'image/png' END END"
+    "CASE WHEN contains(text, 'application/pdf') THEN 'application/pdf' "
+    "WHEN contains(text, 'application/x-pdf') THEN 'application/x-pdf' ELSE 'image/png' END"
 )
 
 
@@ -221,8 +220,7 @@ _TYPE = (
 )
 def message_parts(spark, folder):
     docs = view(spark, folder, "messages").select("doc_id", "text")
-    parts = mail.message_parts(docs).filter("part_no < 2")
-    return parts.select(
+    return mail.message_parts(docs).select(
         "doc_id", "part_no", "content_type", "filename", F.md5("payload").alias("payload_md5")
     )
 
