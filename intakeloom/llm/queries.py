@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intakeloom.llm import mixing
+from intakeloom.llm import bpe, mixing
 from intakeloom.llm.shared import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,17 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("mix_target").alias("target"),
         (F.col("mix_size") * F.col("mix_copies")).cast("bigint").alias("taken"),
     )
+
+
+def vocabulary() -> tuple[str, str]:
+    """Path of the ranks and the pattern of the public tokenizer the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and hash of every document's token ids, and the hash of the decoded bytes."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.digests(documents, *vocabulary())
