@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intakeloom.llm import bpe, mixing
+from intakeloom.llm import bpe, mixing, quality, toxicity
+from intakeloom.llm import features as ft
 from intakeloom.llm.shared import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -92,3 +93,28 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Number and hash of every document's token ids, and the hash of the decoded bytes."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.digests(documents, *vocabulary())
+
+
+def judged(frame: DataFrame, score: str, folds: int, held_out: int) -> DataFrame:
+    return frame.select(
+        "doc_id",
+        (ft.fold(F.col("doc_id"), folds) == held_out).alias("held_out"),
+        F.col(score).alias("score"),
+        (F.col(score) >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = quality.scored(documents, table(spark, folder, "labels"))
+    return judged(found, "quality_score", quality.FOLDS, quality.HELD_OUT)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity.scored(documents, table(spark, folder, "labels"))
+    return judged(found, "toxicity_score", toxicity.FOLDS, toxicity.HELD_OUT)
