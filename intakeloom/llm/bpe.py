@@ -13,26 +13,29 @@ looks the tokens of a list up in the vocabulary and aggregates them in order.
 * A null or empty text gives no ids, and no ids give no bytes.  Repeated rows
   are encoded each; other columns pass through, whatever their names.
 * The ranks are a file of bounded size (a vocabulary), read by the driver and
-  sent along with the tasks.  Memory of a task: one Arrow batch, and at most
-  ``CACHE`` encoded words, which are forgotten when there are more.
+  sent along with the tasks.  Memory of a task: one Arrow batch, the words of a
+  slice of it, and about ``CACHE`` words met before; older ones are forgotten.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 800_000
+CACHE = 500_000
 LONG = 48
+SLICE = 3_000_000  # characters encoded at a time
 
 # A token's place is its word's number times 2**32 plus its position.
 _NEIGHBOURS = """
@@ -40,9 +43,10 @@ _NEIGHBOURS = """
   lead(id) OVER w AS next_id
 """
 _RESULT = """
-SELECT spot >> 32 AS word, list(id ORDER BY spot) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY spot >> 32) AS last FROM tokens)
-WHERE step = last GROUP BY 1
+SELECT word, list(id ORDER BY spot) AS ids
+FROM tokens JOIN (SELECT spot >> 32 AS word, max(step) AS last FROM tokens GROUP BY 1)
+  ON word = spot >> 32 AND step = last
+GROUP BY 1
 """
 SHORT_WORDS = f"""
 WITH RECURSIVE tokens AS (
@@ -151,7 +155,8 @@ class Encoder:
         self.split = Splitter(pattern)
         self.ranks = ranks
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         pairs, merged, inverted = [], [], set()
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -178,7 +183,7 @@ class Encoder:
             data = word.encode("utf-8")
             rank = self.ranks.get(data)
             if rank is not None:
-                self.cache[word] = np.array([rank], np.int32)
+                self.cache[word] = rank.to_bytes(4, sys.byteorder)
             else:
                 (short if len(data) <= LONG else long).append((word, data))
         for some, sql in ((short, SHORT_WORDS), (long, LONG_WORDS)):
@@ -195,22 +200,22 @@ class Encoder:
         found = self.duck.sql(sql).to_arrow_table()
         self.duck.unregister("start")
         lists = found["ids"].combine_chunks()
-        ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        data, ends = lists.values.to_numpy().tobytes(), lists.offsets.to_pylist()
         for k, word in enumerate(found["word"].to_numpy().tolist()):
-            self.cache[some[word][0]] = ids[ends[k] : ends[k + 1]].copy()
+            self.cache[some[word][0]] = data[4 * ends[k] : 4 * ends[k + 1]]
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         cut = [self.split(text) if text else [] for text in texts]
-        fresh = {word for words in cut for word in words if word not in self.cache}
-        if len(self.cache) + len(fresh) > CACHE:
-            self.cache.clear()
-            fresh = {word for words in cut for word in words}
-        self.learn(fresh)
+        if len(self.cache) > CACHE // 2:
+            self.older, self.cache = self.cache, {}
+        fresh = set().union(*cut) - self.cache.keys()
+        for word in fresh & self.older.keys():
+            self.cache[word] = self.older[word]
+        self.learn(fresh - self.cache.keys())
         look = self.cache.__getitem__
-        none = np.empty(0, np.int32)
-        ids = [np.concatenate([look(w) for w in words]) if words else none for words in cut]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        flat = np.concatenate(ids) if ids else none
+        ids = [b"".join(map(look, words)) for words in cut]
+        ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
+        flat = np.frombuffer(b"".join(ids), np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
@@ -226,17 +231,14 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _pieces(batch: pa.RecordBatch, text_col: str, rows: int = 2500) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows and about 16 million characters."""
-    at, size = 0, 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_pylist()
-    for k, length in enumerate(lengths):
-        if k > at and (k - at >= rows or size + length > 16_000_000):
-            yield batch.slice(at, k - at)
-            at, size = k, 0
-        size += length
-    if at < len(lengths):
-        yield batch.slice(at)
+def _slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``SLICE`` characters; a longer text comes alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+    number = np.cumsum(sizes) // SLICE
+    starts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(starts, starts[1:]):
+        if end > start:
+            yield batch.slice(start, end - start)
 
 
 def encoded(
@@ -250,7 +252,7 @@ def encoded(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern)
         for whole in batches:
-            for batch in _pieces(whole, text_col):
+            for batch in _slices(whole, text_col):
                 ids = encoder.encode(batch.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, ids], names=[*batch.schema.names, ids_col]
