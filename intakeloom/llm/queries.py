@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intakeloom.llm import bpe, mixing, quality, toxicity
+from intakeloom.llm import bpe, mixing, quality, syncmers, toxicity
 from intakeloom.llm import features as ft
 from intakeloom.llm.shared import Query, table
 
@@ -118,3 +118,9 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     found = toxicity.scored(documents, table(spark, folder, "labels"))
     return judged(found, "toxicity_score", toxicity.FOLDS, toxicity.HELD_OUT)
+
+
+@query("op4_syncmers")
+def op4_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return syncmers.beside_next(table(spark, folder, "documents"))
