@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intakeloom.llm import bpe, mixing, quality, syncmers, toxicity
+from intakeloom.llm import bpe, mixing, quality, syncmers, toxicity, voronoi
 from intakeloom.llm import features as ft
 from intakeloom.llm.shared import Query, table
 
@@ -124,3 +124,23 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op4_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness."""
     return syncmers.beside_next(table(spark, folder, "documents"))
+
+
+VORONOI_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vector FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(q.vector, r.vector) AS BIGINT) AS score
+  FROM rows q JOIN rows r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 5
+"""
+
+
+@query("op1_voronoi", VORONOI_SQL)
+def op1_voronoi(spark: SparkSession, folder: str) -> DataFrame:
+    """The five rows with the highest inner product to each query row."""
+    embeddings = table(spark, folder, "embeddings")
+    return voronoi.nearest(embeddings, embeddings.where("vec_id % 50 = 0"))
