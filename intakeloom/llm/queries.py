@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intakeloom.llm import bpe, mixing, quality, syncmers, toxicity, voronoi
+from intakeloom.llm import bpe, mixing, quality, secrets, syncmers, toxicity, voronoi
 from intakeloom.llm import features as ft
 from intakeloom.llm.shared import Query, table
 
@@ -144,3 +144,27 @@ def op1_voronoi(spark: SparkSession, folder: str) -> DataFrame:
     """The five rows with the highest inner product to each query row."""
     embeddings = table(spark, folder, "embeddings")
     return voronoi.nearest(embeddings, embeddings.where("vec_id % 50 = 0"))
+
+
+def spans_text(spans: Column) -> Column:
+    return F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ","
+    )
+
+
+def number_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint")
+
+
+@query("op10_secrets")
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = F.col("secret_spans")
+    base = F.filter(found, lambda x: x["kind"] != "model")
+    return secrets.scanned(documents).select(
+        "doc_id",
+        *[number_of(found, kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        spans_text(found).alias("spans"),
+    )
