@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intakeloom.llm import bpe, mixing, quality, secrets, syncmers, toxicity, voronoi
+from intakeloom.llm import bpe, mixing, personal, quality, secrets, syncmers, toxicity, voronoi
 from intakeloom.llm import features as ft
 from intakeloom.llm.shared import Query, table
 
@@ -168,3 +168,17 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
         spans_text(found).alias("spans"),
     )
+
+
+@query("op9_personal")
+def op9_personal(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    spans = F.col("personal_spans")
+    base = F.filter(spans, lambda x: x["kind"] != "model")
+    return personal.found(documents).select(
+        "doc_id",
+        *[number_of(spans, kind).alias(f"n_{kind}") for kind in personal.KINDS[:4]],
+        F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        spans_text(spans).alias("spans"),
+    )
