@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intakeloom.llm import bpe, mixing, personal, quality, secrets, syncmers, toxicity, voronoi
+from intakeloom.llm import bpe, mixing, personal, quality, secrets, syncmers, templates, toxicity, voronoi
 from intakeloom.llm import features as ft
 from intakeloom.llm.shared import Query, table
 
@@ -182,3 +182,44 @@ def op9_personal(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
         spans_text(spans).alias("spans"),
     )
+
+
+TEMPLATES_SQL = r"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nth FROM cut),
+parsed AS (
+  SELECT doc_id, nth, line,
+         regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'),
+                            '[^\x20\x09-\x0D]+') AS tokens
+  FROM lines),
+leaves AS (
+  SELECT doc_id, nth, line, tokens[:2] AS path, tokens[3:] AS rest, len(tokens) AS n FROM parsed WHERE len(tokens) >= 4),
+keys AS (
+  SELECT doc_id, nth, n, path, 'all' AS field, rest AS template FROM leaves
+  UNION ALL
+  SELECT doc_id, nth, n, path, 'but ' || q, list_concat(list_concat(rest[:len(rest) * q // 4], ['<*>']), rest[len(rest) * (q + 1) // 4 + 1:])
+  FROM leaves, range(4) r(q) WHERE n >= 8),
+recurring AS (
+  SELECT n, path, field, template, min(doc_id) AS first FROM keys
+  GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+gone AS (
+  SELECT DISTINCT doc_id, nth FROM keys JOIN recurring USING (n, path, field, template) WHERE doc_id > first),
+stay AS (
+  SELECT doc_id, count(*) AS kept, string_agg(line, chr(10) ORDER BY nth) AS text
+  FROM lines ANTI JOIN gone USING (doc_id, nth) GROUP BY doc_id)
+SELECT c.doc_id, coalesce(len(c.lines), 0) AS n_lines, coalesce(len(c.lines), 0) - coalesce(s.kept, 0) AS n_dropped,
+       CASE WHEN c.text IS NOT NULL THEN sha256(coalesce(s.text, '')) END AS text_sha256
+FROM cut c LEFT JOIN stay s USING (doc_id)
+"""
+
+
+@query("op2_templates", TEMPLATES_SQL)
+def op2_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document, those dropped, and the hash of the text that stays."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return templates.without_recurring(documents).select(
+        "doc_id",
+        F.col("template_lines").alias("n_lines"),
+        F.col("template_dropped").alias("n_dropped"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )
