@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intakeloom.llm import bpe, mixing, personal, quality, secrets, syncmers, templates, toxicity, voronoi
+from intakeloom.llm import bpe, jaccard, mixing, personal, quality, secrets, syncmers, templates, toxicity, voronoi
 from intakeloom.llm import features as ft
 from intakeloom.llm.shared import Query, table
 
@@ -223,3 +223,40 @@ def op2_templates(spark: SparkSession, folder: str) -> DataFrame:
         F.col("template_dropped").alias("n_dropped"),
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
     )
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 90 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, b.y FROM reach r JOIN edges b ON b.x = r.other)
+SELECT s.doc_id, CAST(n AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, n
+"""
+
+
+@query("op6_jaccard", JACCARD_SQL)
+def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of every document's shingle set and the component it belongs to."""
+    return jaccard.grouped(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id"
+    )
