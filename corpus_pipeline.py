@@ -5,27 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from intakeloom.llm import mixing
-from intakeloom.llm.shared import written
+from intakeloom.llm import bpe, jaccard, mixing, templates, toxicity
+from intakeloom.llm.queries import vocabulary
+from intakeloom.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents judged toxic go."""
+    judged = toxicity.scored(docs, table(spark, sf_dir, "labels"))
+    return judged.where("toxicity_score < 0.5").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go; every document stays, if only with an empty text."""
+    without = templates.without_recurring(docs).select(*docs.columns)
+    return without.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five words a shingle, similarity 0.8."""
+    return jaccard.one_of_each(docs, size=5, percent=80)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; a document taken twice comes twice."""
     return mixing.mixed_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("mix", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and hash of every document's token ids, and the hash of the decoded bytes."""
+    return bpe.digests(docs.select("doc_id", "source", "text"), *vocabulary())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", clean),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", distinct),
+    ("mixing", mix),
+    ("byte-level BPE", tokens),
+]
 
-#: Models take part in the stages, which SQL cannot express.
+#: The first stage applies a fitted model, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-stage")
     return STAGES[-1][1](spark, docs, sf_dir)
