@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 500_000
+CACHE = 300_000
 LONG = 48
-SLICE = 3_000_000  # characters encoded at a time
+SLICE = 2_000_000  # characters encoded at a time
+BATCH = 25_000  # words a recursive query takes at a time
 
 # A token's place is its word's number times 2**32 plus its position.
 _NEIGHBOURS = """
@@ -103,7 +104,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _connection() -> duckdb.DuckDBPyConnection:
-    found = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+    found = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
     found.execute("SET enable_progress_bar = false")
     return found
 
@@ -187,8 +188,8 @@ class Encoder:
             else:
                 (short if len(data) <= LONG else long).append((word, data))
         for some, sql in ((short, SHORT_WORDS), (long, LONG_WORDS)):
-            for at in range(0, len(some), 50_000):
-                self._contract(some[at : at + 50_000], sql)
+            for at in range(0, len(some), BATCH):
+                self._contract(some[at : at + BATCH], sql)
 
     def _contract(self, some: list[tuple[str, bytes]], sql: str) -> None:
         lengths = np.array([len(data) for _, data in some], np.int64)
@@ -274,8 +275,8 @@ def decoded(documents: DataFrame, path: str, ids_col: str = "ids", bytes_col: st
         duck.register("piece_rows", pa.table({"id": np.arange(len(pieces)), "piece": pieces}))
         duck.execute("CREATE TABLE vocabulary AS SELECT list(piece ORDER BY id) AS pieces FROM piece_rows")
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 ids = pa.table({"row": np.arange(batch.num_rows), "ids": batch.column(ids_col)})
                 duck.register("batch", ids)
                 texts = duck.sql(DECODE).fetchall()
