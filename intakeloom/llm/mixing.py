@@ -19,7 +19,8 @@ until the total budget is reached.
 A third of all rows may be one source: cumulative sums are taken within 4,096
 slices of a source and put together from the sums of the slices, so no task
 sorts a whole source.  Only (source, key, size) is shuffled, never a text; the
-result is one cut in each source's order, a table with a row per source.
+result is one cut in each source's order, a table with a row per source, which
+documents join in ``SALTS`` parts a source.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from intakeloom.llm.shared import written
 WORD = r"[^\x20\x09-\x0D]+"
 STEPS = 4096  # slices of virtual time in which the budget's end is looked for
 LAST_STEP = 4 * STEPS
+SALTS = 32  # parts in which a source's documents meet its cut
 
 
 def word_count(text: Column) -> Column:
@@ -198,7 +200,10 @@ def mixed(
     """The documents with ``mix_size``, ``mix_source_size``, ``mix_target`` and
     ``mix_copies``, the number of times the mix takes each."""
     found = cuts(documents, id_col, text_col, source_col, **rules)
-    found = found.select(*[F.col(c).alias(f"mix_cut_{c}") for c in found.columns])
+    found = found.select(
+        *[F.col(c).alias(f"mix_cut_{c}") for c in found.columns],
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("mix_cut_salt"),
+    )
     kept = [F.col(f"`{c}`") for c in documents.columns]
     source = F.col(f"`{source_col}`")
     placed = documents.select(
@@ -207,7 +212,7 @@ def mixed(
         word_count(F.col(f"`{text_col}`")).alias("mix_size"),
         source.isNull().alias("mix_no_source"),
         F.coalesce(source.cast("string"), F.lit("")).alias("mix_source"),
-    )
+    ).withColumn("mix_salt", F.pmod(F.xxhash64("mix_place"), F.lit(SALTS)).cast("int"))
     copies = F.when(
         (F.col("mix_size") > 0) & F.col("mix_cut_turn").isNotNull(),
         F.col("mix_cut_turn") + (F.col("mix_place") <= F.col("mix_cut_upto")).cast("int"),
@@ -215,7 +220,8 @@ def mixed(
     return placed.join(
         found,
         (F.col("mix_no_source") == F.col("mix_cut_no_source"))
-        & (F.col("mix_source") == F.col("mix_cut_source")),
+        & (F.col("mix_source") == F.col("mix_cut_source"))
+        & (F.col("mix_salt") == F.col("mix_cut_salt")),
     ).select(
         *kept,
         "mix_size",
