@@ -6,7 +6,7 @@ page formats happens before.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intakeloom import fixed_values as fv
@@ -30,8 +30,10 @@ from intakeloom.operators.replies import one_reply_each, with_page_reply
 
 # What a phone number can start with.
 PHONE_START = r"+(\d"
-# Documents longer than this many pages come as several consecutive parts.
-PAGES_PER_PART = 4096
+# Pages that are put together in the first of two steps; no bearing on results.
+PAGES_PER_BLOCK = 256
+# Bytes a string column can hold.
+LARGEST_TEXT = 2**31 - 2**20
 
 
 # -------------------------------------------------------------------- assembly
@@ -42,17 +44,18 @@ def assemble(
     key: str = "doc_id",
     page: str = "page",
     text: str = "text",
-    pages_per_part: int = PAGES_PER_PART,
+    pages_per_block: int = PAGES_PER_BLOCK,
+    largest: int = LARGEST_TEXT,
 ) -> DataFrame:
-    """Page texts joined in page order, each under a ``--- Page N ---`` line.
+    """Page texts joined in page order, each under a ``--- Page N ---`` line: one row per document.
 
-    Grouping is by document and block of pages, so no group holds more than
-    ``pages_per_part`` pages however large a document is: a longer document
-    becomes several consecutive parts and no page is left out.  Documents with
-    no text at all keep a row with null text.
+    Pages meet in blocks first and the blocks in documents, so a large document's
+    pages are put together by many tasks.  Documents with no text at all keep a
+    row with null text.  A text beyond what a string can hold is null as well and
+    ``too_large`` is true; its pages are never gathered.
     """
     number = F.col(page)
-    part = F.floor((number - 1) / pages_per_part).cast("int")
+    block = F.floor((number - 1) / pages_per_block)
     marked = F.when(
         F.length(text) > 0,
         F.struct(
@@ -62,14 +65,39 @@ def assemble(
             ),
         ),
     )
-    grouped = (
-        pages.select(key, part.alias("part_no"), marked.alias("marked"))
-        .groupBy(key, "part_no")
-        .agg(F.count("*").alias("page_count"), F.collect_list("marked").alias("_pages"))
+    blocks = (
+        pages.select(key, block.alias("_block"), marked.alias("marked"))
+        .groupBy(key, "_block")
+        .agg(F.count("*").alias("pages"), F.collect_list("marked").alias("_pages"))
+        .select(
+            key,
+            "_block",
+            "pages",
+            null_if_empty(
+                F.array_join(F.transform(F.sort_array("_pages"), lambda p: p["text"]), "\n")
+            ).alias("_text"),
+        )
+        .withColumn(
+            "_bytes", F.sum(F.octet_length("_text").cast("bigint") + 1).over(Window.partitionBy(key))
+        )
     )
-    ordered = F.transform(F.sort_array("_pages"), lambda p: p["text"])
-    return grouped.select(
-        key, "part_no", "page_count", null_if_empty(F.array_join(ordered, "\n")).alias("text")
+    fits = F.coalesce(F.col("_bytes"), F.lit(0)) <= largest
+    whole = F.struct("_block", F.col("_text").alias("text"))
+    return (
+        blocks.groupBy(key)
+        .agg(
+            F.sum("pages").alias("page_count"),
+            F.collect_list(F.when(fits & F.col("_text").isNotNull(), whole)).alias("_blocks"),
+            F.max(~fits).alias("too_large"),
+        )
+        .select(
+            key,
+            "page_count",
+            "too_large",
+            null_if_empty(
+                F.array_join(F.transform(F.sort_array("_blocks"), lambda b: b["text"]), "\n")
+            ).alias("text"),
+        )
     )
 
 

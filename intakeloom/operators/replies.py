@@ -204,17 +204,39 @@ def with_page_reply(rows: DataFrame, response: Column) -> DataFrame:
     """Add ``reply_fields``, ``raw_response`` and ``reply_ok`` of an extraction reply.
 
     ``reply_fields`` is the ``extracted_fields`` object as ``map<string,
-    variant>``; text that is not JSON is kept as ``raw_response``.
+    variant>``; text that is not JSON is kept as ``raw_response``.  A reply is
+    good if it is text, or a JSON object, list or string that is not empty and
+    has no ``error`` in it.
     """
-    read = jsontext.with_parsed(rows, "_value", response).withColumn(
-        "_entries", jsontext.fields(F.col("_value"))
+    read = jsontext.with_parsed(rows, "_value", response).withColumns(
+        {
+            "_entries": jsontext.fields(F.col("_value")),
+            "_elements": jsontext.elements(F.col("_value")),
+        }
+    )
+    value, entries, elements = F.col("_value"), F.col("_entries"), F.col("_elements")
+    said = F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+    good = (
+        F.when(value.isNull(), True)
+        .when(
+            entries.isNotNull(),
+            (F.size(entries) > 0) & ~F.map_contains_key(entries, F.lit("error")),
+        )
+        .when(
+            elements.isNotNull(),
+            (F.size(elements) > 0)
+            & ~F.exists(
+                elements,
+                lambda x: (F.schema_of_variant(x) == "STRING")
+                & (F.try_variant_get(x, "$", "string") == "error"),
+            ),
+        )
+        .otherwise((F.length(said) > 0) & ~has(said, "error"))
     )
-    entries = F.col("_entries")
-    useless = (F.size(entries) == 0) | F.map_contains_key(entries, F.lit("error"))
     return read.withColumns(
         {
             "reply_fields": jsontext.fields(F.try_element_at(entries, F.lit("extracted_fields"))),
-            "raw_response": F.when(F.col("_value").isNull(), null_if_empty(response)),
-            "reply_ok": response.isNotNull() & ~F.coalesce(useless, F.lit(False)),
+            "raw_response": F.when(value.isNull(), null_if_empty(response)),
+            "reply_ok": response.isNotNull() & F.coalesce(good, F.lit(False)),
         }
-    ).drop("_value", "_entries")
+    ).drop("_value", "_entries", "_elements")

@@ -24,17 +24,16 @@ def _turns(spark, folder):
     return turns.select("conv_id", (F.col("turn") + 1).alias("page"), "text")
 
 
-_ASSEMBLED = f"""(SELECT conv_id, CAST(turn // {pages.PAGES_PER_PART} AS BIGINT) AS part_no,
-    count(*) AS page_count, string_agg(CASE WHEN length(text) > 0 THEN '--- Page ' ||
+_ASSEMBLED = """(SELECT conv_id, count(*) AS page_count, string_agg(CASE WHEN length(text) > 0 THEN '--- Page ' ||
       CAST(turn + 1 AS STRING) || ' ---' || chr(10) || text END, chr(10) ORDER BY turn, text) AS text
     FROM conversations GROUP BY ALL)"""
 
 
-@query("p01_assemble", f"SELECT conv_id, part_no, page_count, md5(text) AS text_md5 FROM {_ASSEMBLED}")
+@query("p01_assemble", f"SELECT conv_id, page_count, md5(text) AS text_md5 FROM {_ASSEMBLED}")
 def assemble(spark, folder):
     """Turns of a conversation as pages of a document."""
     whole = pages.assemble(_turns(spark, folder), "conv_id")
-    return whole.select("conv_id", "part_no", "page_count", F.md5("text").alias("text_md5"))
+    return whole.select("conv_id", "page_count", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -226,8 +225,13 @@ def composed_fields(spark, folder):
 
 
 _REPLIED = f"""(SELECT *, json_type(rj) = 'OBJECT' AND json_type(rj, '$.extracted_fields') = 'OBJECT' AS sets,
-      response IS NOT NULL AND document_type <> 'unknown' AND coalesce(json_type(rj) <> 'OBJECT'
-        OR (NOT json_exists(rj, '$.error') AND len(json_keys(rj)) > 0), true) AS ok
+      response IS NOT NULL AND document_type <> 'unknown' AND CASE
+        WHEN rj IS NULL THEN true
+        WHEN json_type(rj) = 'OBJECT' THEN NOT json_exists(rj, '$.error') AND len(json_keys(rj)) > 0
+        WHEN json_type(rj) = 'ARRAY' THEN json_array_length(rj) > 0 AND NOT list_contains(
+          [x->>'$' FOR x IN CAST(rj AS JSON[]) IF json_type(x) = 'VARCHAR'], 'error')
+        WHEN json_type(rj) = 'VARCHAR' THEN length(rj->>'$') > 0 AND NOT contains(rj->>'$', 'error')
+        ELSE false END AS ok
     FROM (SELECT p.*, r.response, CASE WHEN json_valid({o.trim('r.response')}) THEN TRY_CAST(r.response AS JSON) END AS rj
       FROM {FIELDS} p LEFT JOIN {REPLIES} r ON p.doc_id = r.doc_id))"""
 _SETS = "coalesce(sets, false)"
@@ -301,7 +305,7 @@ def page_records(spark, folder):
 
 @query(
     "p19_conversation_records",
-    f"""SELECT conv_id, part_no, document_type, {_WORDS} AS total_words, CAST({o.FIELD_COUNT} AS BIGINT)
+    f"""SELECT conv_id, document_type, {_WORDS} AS total_words, CAST({o.FIELD_COUNT} AS BIGINT)
         AS field_count, {o.page_confidence(_WORDS, o.FIELD_COUNT, 'false')} AS confidence_score
         FROM {o.page_fields(o.typed(_ASSEMBLED))}""",
 )
@@ -310,7 +314,6 @@ def conversation_records(spark, folder):
     whole = pages.assemble(_turns(spark, folder), "conv_id")
     return pages.extract_pages(whole, key="conv_id").select(
         "conv_id",
-        "part_no",
         "document_type",
         "total_words",
         "field_count",

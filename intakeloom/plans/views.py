@@ -123,7 +123,7 @@ FROM <lineitem>
 JOIN <orders> ON l_orderkey = o_orderkey
 JOIN <customer> ON o_custkey = c_custkey
 JOIN <supplier> ON l_suppkey = s_suppkey
-""".replace("{{", "{").replace("}}", "}")
+"""
 
 # Texts of scanned pages: invoice, complaint, rfq, report, contract, plain, none.
 PAPERS = f"""
@@ -178,7 +178,8 @@ SELECT o_orderkey AS doc_id,
          WHEN '3O' THEN '{"extracted_fields":{"project":"P7","po":7},"summary":"s"}'
          WHEN '4F' THEN '{"main_topic":"Billing","sender_intent":"complaint","deadline_mentioned":null,"key_entities":["Acme","Bob"],"ticket":"T1","sender":"model@example.com"}'
          WHEN '4O' THEN concat('```json', chr(10), '{"category":"invoice","confidence":0.9,"reasoning":"bill","extracted_fields":{"amount":"9.99","po":"P7"}}', chr(10), '```')
-         WHEN '4P' THEN '[1,2]'
+         WHEN '4P' THEN CASE o_orderkey % 9 WHEN 0 THEN '[]' WHEN 1 THEN '{}' WHEN 2 THEN '77' WHEN 3 THEN '["error"]'
+           WHEN 4 THEN '{"error":"quota"}' WHEN 5 THEN '"an error"' WHEN 6 THEN '"fine"' WHEN 7 THEN 'null' ELSE '[1,2]' END
          WHEN '5F' THEN 'I am happy with the request'
          WHEN '5O' THEN 'Sure: {"category":"other","confidence":0.8,"reasoning":"x"} ok'
          WHEN '5P' THEN ''
@@ -238,7 +239,7 @@ SELECT concat('paper-', CAST(doc_id AS STRING)) AS doc_id, source,
 UNION ALL
 SELECT concat('prose-', CAST(doc_id AS STRING)) AS doc_id, '' AS source,
        CAST(NULL AS STRING) AS known, text FROM <documents>
-""".replace("{{", "{")
+"""
 
 # Ledger records, one per event.
 LEDGER = """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,6 +35,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Small local files: split them over the cores instead of moving rows.
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "0")
     )
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,14 +47,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder the cluster shares between its machines.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session
-    that names none gets a temporary one; on a cluster a machine-local folder
-    would be invisible to other executors, so there its absence is an error.
+    The folder is the session's ``spark.checkpoint.dir``.  Where none is set, as
+    in tests, it lies in the warehouse, which executors share as well.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="intakeloom-")
-        spark.conf.set(CHECKPOINT_SETTING, root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

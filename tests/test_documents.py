@@ -173,16 +173,26 @@ def test_mail_reply_null_stays_null(spark):
     assert (rows[3].sentiment, rows[3].main_topic) == ("neutral", "Unknown")
 
 
-def test_pages_in_order_and_in_parts(spark):
+def test_pages_in_order(spark):
     rows = [(1, p, f"text {p}") for p in range(12, 0, -1)] + [(2, 1, ""), (2, 2, None)]
     frame = spark.createDataFrame(rows, "doc_id int, page int, text string")
     whole = {r.doc_id: r for r in pages.assemble(frame).collect()}
     expected = "\n".join(f"--- Page {p} ---\ntext {p}" for p in range(1, 13))
     assert whole[1].text == expected and whole[1].page_count == 12
     assert whole[2].text is None and whole[2].page_count == 2
-    parts = pages.assemble(frame.filter("doc_id = 1"), pages_per_part=5).orderBy("part_no")
-    assert [r.page_count for r in parts.collect()] == [5, 5, 2]
-    assert "\n".join(r.text for r in parts.collect()) == expected
+    blocks = {r.doc_id: r for r in pages.assemble(frame, pages_per_block=5).collect()}
+    assert blocks == whole
+    large = {r.doc_id: r for r in pages.assemble(frame, largest=40).collect()}
+    assert (large[1].text, large[1].too_large, large[1].page_count) == (None, True, 12)
+    assert not large[2].too_large
+
+
+def test_one_row_for_any_number_of_pages(spark):
+    frame = spark.range(1, 5001).selectExpr("1 AS doc_id", "id AS page", "concat('word ', id) AS text")
+    answers = spark.createDataFrame([(1, "text only")], "doc_id int, response string")
+    for given in (None, answers):
+        row = only(pages.extract_pages(pages.assemble(frame), given))
+        assert (row.page_count, row.total_lines) == (5000, 10000)
 
 
 def test_page_fields(spark):
