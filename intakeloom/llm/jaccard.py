@@ -16,9 +16,9 @@ set).  Two documents link when ``100 * common >= PERCENT * united``.
 4. Each pair left is verified once, with both whole sets.
 
 A group of near copies shares many shingles; it is never turned into all pairs.
-First every set is paired with its neighbour by size and with the smallest one at
-each shared shingle.  What these links join is one component, and then only pairs
-across components are made, through the components present at a shingle.
+First every set is paired with one at each shared shingle, the one that shares
+most of its own prefix.  What these links join is one component, and then only
+pairs across components are made, through the components present at a shingle.
 
 * Rows are documents; a null text is the empty set.  Rows with equal sets link,
   whatever their ids, but empty sets link with nothing, not with each other.
@@ -45,7 +45,7 @@ from intakeloom.llm.shared import written
 
 SHINGLE, PERCENT = 3, 90
 BUCKETS = 1 << 17
-PARTS = 16
+PARTS = 256
 LAST_ID = 2**63 - 1
 _REMEMBERED = 300_000
 
@@ -135,7 +135,8 @@ def _sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
                     keys = (ranks[_bucket(found)] << np.uint64(44)) | (found >> np.uint64(20))
                     first = np.argsort(keys, kind="stable")[: n - least_overlap(n, percent) + 1]
                     prefixes.append(found[first].view(np.int64))
-                    parts.append(np.bincount((found >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype(np.int32).tobytes())
+                    in_part = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=PARTS)
+                    parts.append(np.minimum(in_part, 255).astype(np.uint8).tobytes())
                 else:
                     prefixes.append(np.empty(0, np.int64))
                     parts.append(b"")
@@ -168,12 +169,12 @@ def _packed(documents: DataFrame) -> DataFrame:
 
 def _suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose hash ranges differ by no more than linked sets can."""
-    parts = classes.select(F.col("sig").alias("part_sig"), "parts")
+    parts = classes.select(F.col("sig").alias("part_sig"), "n", "parts")
     both = (
-        pairs.join(parts.withColumnRenamed("parts", "a_parts"), F.col("a") == F.col("part_sig"))
-        .drop("part_sig")
-        .join(parts.withColumnRenamed("parts", "b_parts"), F.col("b") == F.col("part_sig"))
-        .select("a", "b", "a_parts", "b_parts")
+        pairs.join(parts, F.col("a") == F.col("part_sig"))
+        .select("a", "b", F.col("n").alias("a_n"), F.col("parts").alias("a_parts"))
+        .join(parts, F.col("b") == F.col("part_sig"))
+        .select("a", "b", "a_parts", F.col("parts").alias("b_parts"), (F.col("a_n") + F.col("n")).alias("sizes"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +182,10 @@ def _suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> Data
             if not batch.num_rows:
                 continue
             one, other = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.int32).reshape(-1, PARTS).astype(np.int64)
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
                 for k in (2, 3)
             )
-            sizes = one.sum(1) + other.sum(1)
+            sizes = batch.column(4).to_numpy()
             least = -(-percent * sizes // (100 + percent))
             stay = np.abs(one - other).sum(1) <= sizes - 2 * least
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(stay))
@@ -294,22 +295,28 @@ def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     )
     packed = _packed(documents)
     grams = classes.select("sig", "n", F.posexplode("prefix").alias("place", "gram"))
-    at_gram = Window.partitionBy("gram").orderBy("n", "sig")
-    entry = F.struct("sig", "n", "place")
+    # Most shingles are met in one set only and go here.
+    beside = Window.partitionBy("gram").orderBy("sig")
     postings = written(
         grams.select(
             "gram",
             "sig",
             "n",
             "place",
-            F.lag(entry).over(at_gram).alias("before"),
-            F.first(entry).over(at_gram).alias("smallest"),
-            F.lead("n").over(at_gram).alias("after"),
+            F.lag("n").over(beside).alias("before"),
+            F.lead("n").over(beside).alias("after"),
         )
         .where("before IS NOT NULL OR after IS NOT NULL")
-        .drop("after"),
+        .drop("before", "after"),
         "jaccard-postings",
     )
+    # The set that shares most of its prefix has the fewest words of its own.
+    central = postings.groupBy("sig").agg((F.count("*") / F.first("n")).alias("shared"))
+    hubs = (
+        postings.join(central, "sig")
+        .groupBy("gram")
+        .agg(F.max(F.struct("shared", "sig", "n", "place")).alias("hub"))
+    )
 
     def fitting(small: str, large: str) -> Column:
         """Length and positional filter of the smaller and the larger set at a shared shingle."""
@@ -323,13 +330,10 @@ def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
             F.greatest(F.col(one), F.col(other)).alias("b"),
         ]
 
+    starred = postings.join(hubs, "gram").where(F.col("hub.sig") != F.col("sig"))
     stars = (
-        postings.where(F.col("before").isNotNull() & fitting("before.", "")).select(*pair("before.sig", "sig"))
-        .unionByName(
-            postings.where((F.col("smallest.sig") != F.col("sig")) & fitting("smallest.", "")).select(
-                *pair("smallest.sig", "sig")
-            )
-        )
+        starred.where(F.when(F.col("n") <= F.col("hub.n"), fitting("", "hub.")).otherwise(fitting("hub.", "")))
+        .select(*pair("hub.sig", "sig"))
         .distinct()
     )
     links = _verified(stars, classes, packed, size, percent)
