@@ -150,7 +150,7 @@ class Splitter:
 
 
 class Encoder:
-    """Encodes words in batches; one for each Python worker and vocabulary."""
+    """Encodes words in batches."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.split = Splitter(pattern)
@@ -220,21 +220,31 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
+class Decoder:
+    """Looks the tokens of lists up and puts their bytes together in order."""
 
-
-def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """The worker's encoder, kept from task to task."""
-    key = (hash(frozenset(ranks.items())), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks, pattern)
-    return _ENCODERS[key]
-
-
-def _slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with about ``SLICE`` characters; a longer text comes alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = {rank: token.decode("latin-1") for token, rank in ranks.items()}
+        pieces = [by_id.get(rank, "") for rank in range(max(by_id) + 1)]
+        self.duck = _connection()
+        self.duck.register("piece_rows", pa.table({"id": np.arange(len(pieces)), "piece": pieces}))
+        self.duck.execute("CREATE TABLE vocabulary AS SELECT list(piece ORDER BY id) AS pieces FROM piece_rows")
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        out: list[bytes] = []
+        for at in range(0, len(ids), 500):
+            some = ids.slice(at, 500)
+            self.duck.register("batch", pa.table({"row": np.arange(len(some)), "ids": some}))
+            out += [(text or "").encode("latin-1") for (text,) in self.duck.sql(DECODE).fetchall()]
+            self.duck.unregister("batch")
+        return pa.array(out, pa.binary())
+
+
+def _slices(batch: pa.RecordBatch, given: str) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``SLICE`` characters or tokens; a longer row comes alone."""
+    column = batch.column(given)
+    length = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+    sizes = pc.fill_null(length(column), 0).to_numpy(zero_copy_only=False)
     number = np.cumsum(sizes) // SLICE
     starts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
     for start, end in zip(starts, starts[1:]):
@@ -242,58 +252,66 @@ def _slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, end - start)
 
 
-def encoded(
-    documents: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids"
+def _coded(
+    documents: DataFrame, path: str, pattern: str | None, given: str, added: dict[str, T.DataType]
 ) -> DataFrame:
-    """``documents`` with the ids of ``text_col``; a column ``ids_col`` of theirs is replaced."""
+    """One pass over the rows; encoder and decoder are given back at the end of each task."""
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
-    kept = documents.drop(ids_col)
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    kept = documents.drop(*added)
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(c, kind) for c, kind in added.items()]])
+    decodes = any(isinstance(kind, T.BinaryType) for kind in added.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks.value, pattern)
+        encoder = Encoder(ranks.value, pattern) if pattern is not None else None
+        decoder = Decoder(ranks.value) if decodes else None
         for whole in batches:
-            for batch in _slices(whole, text_col):
-                ids = encoder.encode(batch.column(text_col).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, ids], names=[*batch.schema.names, ids_col]
-                )
+            for batch in _slices(whole, given):
+                new = []
+                ids = batch.column(given)
+                if encoder is not None:
+                    ids = encoder.encode(ids.to_pylist())
+                    new.append(ids)
+                if decoder is not None:
+                    new.append(decoder.decode(ids))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+        for part in (encoder, decoder):
+            if part is not None:
+                part.duck.close()
 
     return kept.mapInArrow(run, schema)
 
 
+_IDS = T.ArrayType(T.IntegerType())
+
+
+def encoded(
+    documents: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids"
+) -> DataFrame:
+    """``documents`` with the ids of ``text_col``; a column ``ids_col`` of theirs is replaced."""
+    return _coded(documents, path, pattern, text_col, {ids_col: _IDS})
+
+
 def decoded(documents: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
     """``documents`` with the bytes their ids stand for; an id outside the vocabulary stands for none."""
-    ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
-    kept = documents.drop(bytes_col)
-    schema = T.StructType([*kept.schema.fields, T.StructField(bytes_col, T.BinaryType())])
+    return _coded(documents, path, None, ids_col, {bytes_col: T.BinaryType()})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        duck = _connection()
-        by_id = {rank: token.decode("latin-1") for token, rank in ranks.value.items()}
-        pieces = [by_id.get(rank, "") for rank in range(max(by_id) + 1)]
-        duck.register("piece_rows", pa.table({"id": np.arange(len(pieces)), "piece": pieces}))
-        duck.execute("CREATE TABLE vocabulary AS SELECT list(piece ORDER BY id) AS pieces FROM piece_rows")
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids = pa.table({"row": np.arange(batch.num_rows), "ids": batch.column(ids_col)})
-                duck.register("batch", ids)
-                texts = duck.sql(DECODE).fetchall()
-                duck.unregister("batch")
-                out = pa.array([(x or "").encode("latin-1") for (x,) in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, bytes_col])
 
-    return kept.mapInArrow(run, schema)
+def there_and_back(
+    documents: DataFrame,
+    path: str,
+    pattern: str,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    bytes_col: str = "bytes",
+) -> DataFrame:
+    """Both: the ids of a text and the bytes decoded from these ids."""
+    return _coded(documents, path, pattern, text_col, {ids_col: _IDS, bytes_col: T.BinaryType()})
 
 
 def digests(documents: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``documents`` without the text, with number of tokens and hashes of ids and decoded bytes."""
-    both = decoded(
-        encoded(documents.withColumn(text_col, F.coalesce(text_col, F.lit(""))), path, pattern, text_col).drop(text_col),
-        path,
-    )
-    rest = [F.col(f"`{c}`") for c in both.columns if c not in ("ids", "bytes")]
+    both = there_and_back(documents, path, pattern, text_col)
+    rest = [F.col(f"`{c}`") for c in both.columns if c not in (text_col, "ids", "bytes")]
     return both.select(
         *rest,
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 BITS = 18
 SIZE = 1 << BITS
 _MASK = SIZE - 1
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 
 _LETTERS = regex.compile(r"[^\p{L}]+")
 

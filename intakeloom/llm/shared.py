@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +14,24 @@ from intakeloom.session import shared_folder
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for an application.
+
+    They may run in other folders and on other machines than the driver's.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SENT:
+        root = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/intakeloom", "zip", root, "intakeloom")
+        context.addPyFile(archive)  # the driver serves it to the executors
+        _SENT.add(context.applicationId)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    send_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
