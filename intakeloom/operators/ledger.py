@@ -6,9 +6,10 @@ appends a tombstone, and :func:`latest` shows what is current.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,26 +77,42 @@ def new_records(rows: DataFrame) -> DataFrame:
     return rows.select(*columns)
 
 
-def append(records: DataFrame, path: str) -> None:
-    """Append records to the Parquet ledger, one folder per format."""
-    records.write.mode("append").partitionBy("format").parquet(path)
+def append(records: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add records to the Parquet ledger as a batch of their own, one folder per format.
+
+    A batch of the same name is replaced, so writing it again after a failure
+    adds nothing; without a name it is a new one.
+    """
+    name = batch or uuid.uuid4().hex
+    records.write.mode("overwrite").partitionBy("format").parquet(f"{path}/batch={name}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+    """All records, whether a stream or a batch job wrote them."""
+    return spark.read.schema(T.StructType([*SCHEMA.fields, T.StructField("batch", T.StringType())])).parquet(path).drop("batch")
 
 
 def clear(spark: SparkSession, path: str) -> None:
     """Empty the ledger: overwrite it with no rows."""
     (
-        spark.createDataFrame([], SCHEMA)
+        spark.createDataFrame([], T.StructType([*SCHEMA.fields, T.StructField("batch", T.StringType())]))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
-        .partitionBy("format")
+        .partitionBy("batch", "format")
         .parquet(path)
     )
 
 
+def compact(ledger: DataFrame, path: str) -> None:
+    """Write the current records, sorted by id within each file, as a ledger of their own.
+
+    The ledger read and ``path`` must differ; readers change over when it is done.
+    Sorted files let a search for an id skip what cannot hold it.
+    """
+    current = latest(ledger).repartitionByRange("format", "id").sortWithinPartitions("format", "id")
+    append(current, path, "compacted")
+
+
 # ------------------------------------------------- versions, updates, deletions
 
 
@@ -121,18 +138,24 @@ def latest(ledger: DataFrame) -> DataFrame:
     )
 
 
+def _of(ledger: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the given ids: keys are matched before anything else moves."""
+    return ledger.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def update(ledger: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
-    """Next versions of the records named by ``changes`` (one row per id).
+    """Next versions of the records named by ``changes``.
 
     Columns of ``changes`` replace the record's own; ids that are unknown or
-    deleted change nothing.  Append the result to the ledger.
+    deleted change nothing.  Of several changes for an id the greatest by value
+    counts.  Append the result to the ledger.
     """
     new = [c for c in changes.columns if c != "id"]
-    renamed = changes.select("id", *[F.col(c).alias(f"_new_{c}") for c in new])
-    replaced = {c: F.col(f"_new_{c}").cast(SCHEMA[c].dataType) for c in new}
+    one = changes.groupBy("id").agg(F.max(F.struct(*new)).alias("_new"))
+    replaced = {c: F.col(f"_new.{c}").cast(SCHEMA[c].dataType) for c in new}
     return (
-        latest(ledger)
-        .join(renamed, "id")
+        latest(_of(ledger, changes))
+        .join(one, "id")
         .withColumns({**replaced, "updated_at": at, "version": F.col("version") + 1})
         .select(*SCHEMA.names)
     )
@@ -141,8 +164,7 @@ def update(ledger: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
 def delete(ledger: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
     """Tombstones for the given ids; append them to the ledger."""
     return (
-        latest(ledger)
-        .join(ids.select("id"), "id", "left_semi")
+        latest(_of(ledger, ids))
         .withColumns({"updated_at": at, "version": F.col("version") + 1, "is_deleted": F.lit(True)})
         .select(*SCHEMA.names)
     )
@@ -213,7 +235,7 @@ def by_id(ledger: DataFrame, record: str) -> DataFrame:
 
 
 def by_ids(ledger: DataFrame, ids: DataFrame) -> DataFrame:
-    return latest(ledger).join(ids.select("id"), "id", "left_semi")
+    return latest(_of(ledger, ids))
 
 
 def by_status(records: DataFrame, status: str) -> DataFrame:
@@ -229,6 +251,28 @@ def all_threads(records: DataFrame) -> DataFrame:
     return records.orderBy("thread_id", "timestamp", "id")
 
 
+def with_positions(records: DataFrame) -> DataFrame:
+    """Each record with its ``position`` in its thread, from 1, oldest first.
+
+    Records are numbered within a day of a thread, and the days' totals, a narrow
+    table, give what comes before: a thread of any length spreads over its days.
+    """
+    day = F.to_date("timestamp").alias("_day")
+    dated = records.select("*", day)
+    within = Window.partitionBy("thread_id", "_day").orderBy("timestamp", "id")
+    numbered = dated.withColumn("_nth", F.row_number().over(within))
+    days = dated.groupBy("thread_id", "_day").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("thread_id").orderBy("_day")
+    before = days.select(
+        F.col("thread_id").alias("_thread"),
+        F.col("_day").alias("_of"),
+        (F.sum("_rows").over(earlier) - F.col("_rows")).alias("_before"),
+    )
+    return numbered.join(
+        before, F.col("thread_id").eqNullSafe(F.col("_thread")) & (F.col("_day") == F.col("_of"))
+    ).select(*[F.col(c) for c in records.columns], (F.col("_before") + F.col("_nth")).alias("position"))
+
+
 def recent(records: DataFrame, limit: int = fv.RECENT_LIMIT) -> DataFrame:
     return records.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
 

@@ -190,17 +190,28 @@ def merged_fields(extras: Column) -> Column:
     )
 
 
+def said_or_found(name: str) -> Column:
+    """What a reply says of a field, null included, else what was found in the mail."""
+    extras = F.col("reply_extras")
+    said = F.try_variant_get(F.try_element_at(extras, F.lit(name)), "$", "string")
+    return F.when(
+        F.coalesce(F.map_contains_key(extras, F.lit(name)), F.lit(False)), said
+    ).otherwise(F.col(name))
+
+
 def with_reply(facts: DataFrame, response: Column) -> DataFrame:
-    """Complete mail facts with a model reply (null for none) and score them."""
+    """Complete mail facts with a model reply (null for none) and score what then stands."""
     score = confidence(
         F.col("sender"), F.col("subject"), F.col("main_topic"), F.col("sender_intent")
     )
     accepted = F.col("mail_ok")
+    merged = with_mail_reply(facts, response).withColumn(
+        "extracted_fields", merged_fields(F.col("reply_extras"))
+    )
     return (
-        with_mail_reply(facts, response)
+        merged.withColumns({name: said_or_found(name) for name in ("sender", "subject", "urgency")})
         .withColumns(
             {
-                "extracted_fields": merged_fields(F.col("reply_extras")),
                 "confidence_score": F.when(accepted, score).otherwise(F.lit(0.0)),
                 "success": accepted,
                 "error": F.when(~accepted, F.lit(INVALID_INPUT)),

@@ -34,18 +34,22 @@ _USERS = """(SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment
 
 @query(
     "x02_required_fields",
-    f"""SELECT c_custkey, nation IS NOT NULL AND trim(segment) <> '' AND false AS is_valid,
-        'phone' AS missing_fields, concat_ws('|', CASE WHEN trim(segment) = '' THEN 'segment' END,
+    f"""SELECT c_custkey, e = 0 AND phone AS is_valid, CASE WHEN phone THEN '' ELSE 'phone' END AS missing_fields,
+        concat_ws('|', CASE WHEN trim(segment) = '' THEN 'segment' END,
           CASE WHEN nation IS NULL THEN 'nation' END) AS empty_fields,
-        round((1.0 - (1 + e) / 4.0) * (0.5 + 0.5 * ((3 - e) / 3.0)), 6) AS confidence_score
-        FROM (SELECT *, CAST(trim(segment) = '' AS INT) + CAST(nation IS NULL AS INT) AS e FROM {_USERS})""",
+        round((1.0 - (CASE WHEN phone THEN e ELSE e + 1 END) / 4.0) *
+          (0.5 + 0.5 * CASE WHEN phone THEN (4 - e) / 4.0 ELSE (3 - e) / 3.0 END), 6) AS confidence_score
+        FROM (SELECT *, c_custkey % 3 = 0 AS phone,
+          CAST(trim(segment) = '' AS INT) + CAST(nation IS NULL AS INT) AS e FROM {_USERS})""",
 )
 def required_fields(spark, folder):
     c = tables.table(spark, folder, "customer")
     segment = F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise(" ")
     nation = F.when(F.col("c_nationkey") > 12, F.col("c_nationkey").cast("string"))
-    data = F.create_map(
-        F.lit("name"), F.col("c_name"), F.lit("segment"), segment, F.lit("nation"), nation
+    known = [F.lit("name"), F.col("c_name"), F.lit("segment"), segment, F.lit("nation"), nation]
+    phone = [F.lit("phone"), F.lit("+1-555-0100")]
+    data = F.when(F.col("c_custkey") % 3 == 0, F.create_map(*known, *phone)).otherwise(
+        F.create_map(*known)
     )
     checked = c.select("c_custkey", data.alias("data")).withColumn(
         "_check", quality.validate_fields(F.col("data"), ["name", "segment", "nation", "phone"])
@@ -184,11 +188,12 @@ def compacted(spark, folder):
 def cleared(spark, folder):
     path = shared_folder(configure(spark), "cleared")
     ledger.append(_records(spark, folder), path)
-    before = ledger.total(ledger.read(spark, path)).first()[0]
+    counted = shared_folder(spark, "counted")
+    ledger.total(ledger.read(spark, path)).write.parquet(counted)
     ledger.clear(spark, path)
-    return ledger.total(ledger.read(spark, path)).select(
-        F.lit(before).alias("before_clear"), F.col("total_records").alias("after_clear")
-    )
+    before = spark.read.parquet(counted).select(F.col("total_records").alias("before_clear"))
+    after = ledger.total(ledger.read(spark, path)).select(F.col("total_records").alias("after_clear"))
+    return before.join(after, F.lit(True))  # one row each
 
 
 @query("l06_total", f"SELECT count(*) AS total_records FROM {LEDGER}")
@@ -206,6 +211,15 @@ def by_thread(spark, folder):
     return _shown(ledger.by_thread(_records(spark, folder), "8"))
 
 
+@query(
+    "l08_thread_positions",
+    f"""SELECT id, thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY timestamp, id) AS position
+        FROM {LEDGER}""",
+)
+def thread_positions(spark, folder):
+    return ledger.with_positions(_records(spark, folder)).select("id", "thread_id", "position")
+
+
 @query("l08_all_threads", f"SELECT {_SQL_COLUMNS} FROM {LEDGER}")
 def all_threads(spark, folder):
     return _shown(ledger.all_threads(_records(spark, folder)))

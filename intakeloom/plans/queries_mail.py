@@ -139,7 +139,9 @@ _FACTS = f"""(SELECT doc_id, {_given('main_topic', "'Unknown'")} AS main_topic,
       {_given('action_required', "'Review required'")} AS action_required,
       {_given('deadline_mentioned', 'NULL')} AS deadline_mentioned,
       CASE WHEN is_text THEN {_MOOD} ELSE {_given('sentiment', "'neutral'")} END AS sentiment,
-      rj->>'$.ticket' AS ticket, rj->>'$.sender' AS reply_sender
+      rj->>'$.ticket' AS ticket, {', '.join(
+          f"coalesce(json_type(rj) = 'OBJECT' AND json_exists(rj, '$.{c}'), false) AS says_{c}, "
+          f"rj->>'$.{c}' AS said_{c}" for c in ('sender', 'subject', 'urgency'))}
     FROM {_SAID})"""
 _REPLY_COLUMNS = (
     "main_topic, sender_intent, key_entities, action_required, deadline_mentioned, sentiment"
@@ -174,14 +176,16 @@ def _extracted(spark, folder):
     return mail.extract_mail(docs, view(spark, folder, "replies"))
 
 
-_MERGED = f"""(SELECT m.*, f.* EXCLUDE (doc_id) FROM {PARSED} m
-    LEFT JOIN {_FACTS} f ON m.doc_id = f.doc_id)"""
+_MERGED = f"""(SELECT m.* EXCLUDE (sender, subject), f.* EXCLUDE (doc_id),
+      CASE WHEN says_sender THEN said_sender ELSE m.sender END AS sender,
+      CASE WHEN says_subject THEN said_subject ELSE m.subject END AS subject,
+      CASE WHEN says_urgency THEN said_urgency ELSE {o.URGENCY} END AS urgency
+    FROM {PARSED} m LEFT JOIN {_FACTS} f ON m.doc_id = f.doc_id)"""
 
 
 @query(
     "e13_merged_fields",
-    f"""SELECT doc_id, coalesce(reply_sender, sender) AS sender, subject, {o.URGENCY} AS urgency,
-        main_topic, ticket, sentiment FROM {_MERGED}""",
+    f"SELECT doc_id, sender, subject, urgency, main_topic, ticket, sentiment FROM {_MERGED}",
 )
 def merged_fields(spark, folder):
     """Read back the merged JSON: a reply's sender replaces the header's."""
@@ -245,7 +249,7 @@ _SETS = ", ".join(f"{o.sorted_set(sql)} AS {name}" for name, sql in o.ENTITIES.i
 @query(
     "e17_mail_records",
     f"""SELECT doc_id, sender, recipient, subject, md5(body) AS body_md5, {_SETS},
-        {o.URGENCY} AS urgency, {_REPLY_COLUMNS},
+        urgency, {_REPLY_COLUMNS},
         {o.mail_confidence('main_topic', 'sender_intent')} AS confidence_score, true AS success
         FROM {_MERGED}""",
 )

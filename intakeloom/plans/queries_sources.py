@@ -256,3 +256,40 @@ def stream_intake(spark, folder):
         "status",
         "processed_by",
     )
+
+
+@query(
+    "s14_streamed_then_changed",
+    """SELECT source || '-' || CAST(doc_id AS STRING) || '.txt' AS source,
+        CASE WHEN doc_id % 5 = 0 THEN 'reviewed' ELSE 'completed' END AS status,
+        CAST(CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version
+        FROM documents WHERE length(trim(text)) >= 10 AND doc_id % 7 <> 0""",
+)
+def streamed_then_changed(spark, folder):
+    """A streamed ledger to which a batch job adds updates, then deletions."""
+    arriving = tables.table_stream(spark, folder, "documents").select(
+        "doc_id",
+        F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias(
+            "source"
+        ),
+        "text",
+    )
+    path = shared_folder(spark, "changed")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    record_stream(arriving, at, f"{path}/ledger", f"{path}/checkpoint").awaitTermination()
+    number = F.regexp_extract("source", r"-(\d+)[.]txt$", 1).cast("bigint")
+
+    def named(rule):
+        rows = ledger.latest(ledger.read(spark, f"{path}/ledger")).where("source <> 'error'")
+        return rows.where(rule).select("id")
+
+    change = named(number % 5 == 0).withColumn("status", F.lit("reviewed"))
+    whole = ledger.read(spark, f"{path}/ledger")
+    ledger.append(ledger.update(whole, change, at), f"{path}/ledger", "review")
+    gone = named(number % 7 == 0)
+    ledger.append(ledger.delete(ledger.read(spark, f"{path}/ledger"), gone, at), f"{path}/ledger", "gone")
+    return (
+        ledger.latest(ledger.read(spark, f"{path}/ledger"))
+        .where("source <> 'error'")
+        .select("source", "status", "version")
+    )

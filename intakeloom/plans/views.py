@@ -176,7 +176,12 @@ SELECT o_orderkey AS doc_id,
          WHEN '2P' THEN 'unknown,0.9'
          WHEN '3F' THEN 'weather,0.9'
          WHEN '3O' THEN '{"extracted_fields":{"project":"P7","po":7},"summary":"s"}'
-         WHEN '4F' THEN '{"main_topic":"Billing","sender_intent":"complaint","deadline_mentioned":null,"key_entities":["Acme","Bob"],"ticket":"T1","sender":"model@example.com"}'
+         WHEN '4F' THEN CASE o_orderkey % 5
+           WHEN 0 THEN '{"sender":null,"subject":"","main_topic":"Billing"}'
+           WHEN 1 THEN '{"subject":"Re: parts","urgency":"low","sender":""}'
+           WHEN 2 THEN '{"urgency":null,"subject":null,"sender_intent":"order"}'
+           ELSE '{"main_topic":"Billing","sender_intent":"complaint","deadline_mentioned":null,"key_entities":["Acme","Bob"],"ticket":"T1","sender":"model@example.com"}'
+         END
          WHEN '4O' THEN concat('```json', chr(10), '{"category":"invoice","confidence":0.9,"reasoning":"bill","extracted_fields":{"amount":"9.99","po":"P7"}}', chr(10), '```')
          WHEN '4P' THEN CASE o_orderkey % 9 WHEN 0 THEN '[]' WHEN 1 THEN '{}' WHEN 2 THEN '77' WHEN 3 THEN '["error"]'
            WHEN 4 THEN '{"error":"quota"}' WHEN 5 THEN '"an error"' WHEN 6 THEN '"fine"' WHEN 7 THEN 'null' ELSE '[1,2]' END

@@ -1,16 +1,20 @@
 """Documents arrive, are classified, extracted and recorded as they come.
 
 The stream runs the batch plan unchanged: nothing in it keeps state, so there
-is no watermark and a restart resumes from the checkpoint with each file
-recorded exactly once by the Parquet sink.
+is no watermark.  Each batch is written under a name made of the checkpoint and
+the batch's number: a restart that repeats it replaces what it wrote, and batch
+jobs add their own changes to the same ledger.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from intakeloom.operators import ledger
 from intakeloom.plans.intake import ledger_rows, route_and_extract
 
 
@@ -34,11 +38,15 @@ def record_stream(
         arrived, key=key, keep=[source, "_received_at", *(keep or [])], **plan
     )
     records = ledger_rows(results, F.col("_received_at"), key, source)
+    name = md5(checkpoint_path.encode()).hexdigest()
+
+    def record(rows: DataFrame, number: int) -> None:
+        ledger.append(rows, ledger_path, f"{name}-{number}")
+
     return (
-        records.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("format")
+        records.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
-        .start(ledger_path)
+        .foreachBatch(record)
+        .start()
     )

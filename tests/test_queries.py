@@ -10,6 +10,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry
 import check
 
+from intakeloom.operators import json_docs
+from intakeloom.plans.catalog import ORACLES, QUERIES
+from intakeloom.plans.views import view
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -19,13 +23,23 @@ def connection():
         yield opened
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees(spark, connection, name):
     assert check.compare(spark, connection, FOLDER, name) is None
 
 
 def test_every_query_but_the_file_scan_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"s01_file_scan"}
+    assert set(QUERIES) - set(ORACLES) == {"s01_file_scan"}
+
+
+def test_documents_of_every_kind_occur(spark):
+    """The JSON view has all six kinds, valid and invalid, and only the cut-off kind does not parse."""
+    docs = view(spark, FOLDER, "jsons")
+    rows = json_docs.extract_json(docs).groupBy("detected_schema", "success", "valid").count().collect()
+    seen = {(row.detected_schema, row.valid) for row in rows if row.success}
+    assert {("invoice", True), ("invoice", False), ("order", True), ("product", True)} <= seen
+    bad = json_docs.extract_json(docs).where("NOT success").select("doc_id").join(docs, "doc_id")
+    assert {row.text[:8] for row in bad.collect()} == {'{"note":'}
 
 
 def test_entry(spark):
