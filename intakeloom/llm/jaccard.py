@@ -46,6 +46,8 @@ from intakeloom.llm.shared import written
 SHINGLE, PERCENT = 3, 90
 BUCKETS = 1 << 17
 PARTS = 256
+TELLING = 8
+BROADCAST_ROWS = 200_000  # of 60 bytes
 LAST_ID = 2**63 - 1
 _REMEMBERED = 300_000
 
@@ -197,8 +199,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, packed: DataFrame, size: int
     """The pairs that link, each compared once with both whole sets."""
     pairs = written(_suffix_filtered(pairs, classes, percent), "jaccard-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    wanted = written(classes.join(needed, "sig").select("sig", "rep.id", "rep.spot"), "jaccard-wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        wanted = F.broadcast(wanted)
     texts = written(
-        packed.join(classes.join(needed, "sig").select("sig", "rep.id", "rep.spot"), ["id", "spot"])
+        packed.join(wanted, ["id", "spot"])
         .groupBy("sig")
         .agg(F.first("packed").alias("packed")),
         "jaccard-texts",
@@ -295,8 +300,9 @@ def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     )
     packed = _packed(documents)
     grams = classes.select("sig", "n", F.posexplode("prefix").alias("place", "gram"))
-    # Most shingles are met in one set only and go here.
-    beside = Window.partitionBy("gram").orderBy("sig")
+    # Most shingles are met in one set only, or in sets of sizes too far apart, and go
+    # here: a row whose neighbours by size are too small and too large has no partner.
+    beside = Window.partitionBy("gram").orderBy("n", "sig")
     postings = written(
         grams.select(
             "gram",
@@ -306,7 +312,10 @@ def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
             F.lag("n").over(beside).alias("before"),
             F.lead("n").over(beside).alias("after"),
         )
-        .where("before IS NOT NULL OR after IS NOT NULL")
+        .where(
+            F.coalesce(_sizes_allow(F.col("before"), F.col("n"), percent), F.lit(False))
+            | F.coalesce(_sizes_allow(F.col("n"), F.col("after"), percent), F.lit(False))
+        )
         .drop("before", "after"),
         "jaccard-postings",
     )
@@ -341,26 +350,44 @@ def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     labelled = postings.join(labels, postings["sig"] == labels["node"], "left").select(
         "gram", "sig", "n", "place", F.coalesce("label", "sig").alias("component")
     )
-    several = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_rows = written(
-        labelled.join(several.where("low != high").select("gram"), "gram"), "jaccard-open"
+    # Where a shingle has several components, one row of a pair is outside the largest.
+    several = (
+        labelled.groupBy("gram", "component")
+        .count()
+        .groupBy("gram")
+        .agg(F.max(F.struct("count", "component")).alias("largest"), F.count("*").alias("components"))
+        .where("components > 1")
+        .select("gram", F.col("largest.component").alias("major"))
+    )
+    open_rows = written(labelled.join(several, "gram"), "jaccard-open")
+    # A pair is made at the first shingle both have open; a few of them tell most others.
+    first = (
+        open_rows.groupBy("sig")
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "gram"))), 1, TELLING).alias("first"))
+        .join(open_rows, "sig")
+        .select(
+            "gram",
+            "sig",
+            "n",
+            "place",
+            "component",
+            (F.col("component") != F.col("major")).alias("minor"),
+            F.transform(
+                F.filter("first", lambda x: x["place"] < F.col("place")), lambda x: x["gram"]
+            ).alias("earlier"),
+        )
     )
-    present = open_rows.groupBy("gram", "component").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    one, other = present.alias("one"), present.alias("other")
-    across = one.join(
-        other,
-        (F.col("one.gram") == F.col("other.gram"))
-        & (F.col("one.component") < F.col("other.component"))
-        & (F.col("one.most_n") * 100 >= F.col("other.least_n") * percent)
-        & (F.col("other.most_n") * 100 >= F.col("one.least_n") * percent),
-    ).select(F.col("one.gram").alias("gram"), F.col("one.component").alias("c1"), F.col("other.component").alias("c2"))
-    left = open_rows.select("gram", F.col("component").alias("c1"), F.struct("sig", "n", "place").alias("l"))
-    right = open_rows.select("gram", F.col("component").alias("c2"), F.struct("sig", "n", "place").alias("r"))
+    left = first.where("minor").select("gram", F.struct("sig", "n", "place", "component", "earlier").alias("l"))
+    right = first.select("gram", F.struct("sig", "n", "place", "component", "earlier", "minor").alias("r"))
     rest = (
-        across.join(left, ["gram", "c1"])
-        .join(right, ["gram", "c2"])
-        .where(
-            F.when(F.col("l.n") <= F.col("r.n"), fitting("l.", "r.")).otherwise(fitting("r.", "l."))
+        left.alias("left")
+        .join(
+            right.alias("right"),
+            (F.col("left.gram") == F.col("right.gram"))
+            & (F.col("l.component") != F.col("r.component"))
+            & (~F.col("r.minor") | (F.col("l.sig") < F.col("r.sig")))
+            & F.when(F.col("l.n") <= F.col("r.n"), fitting("l.", "r.")).otherwise(fitting("r.", "l."))
+            & ~F.arrays_overlap("l.earlier", "r.earlier"),
         )
         .select(*pair("l.sig", "r.sig"))
         .distinct()
