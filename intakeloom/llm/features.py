@@ -226,3 +226,21 @@ def calibrated(margin: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple
         if np.abs(step).max() < 1e-7:
             break
     return max(float(fit[0]), 1e-6) / scale, float(fit[1])
+
+
+def least_cost(margin: np.ndarray, label: np.ndarray, prior: float) -> float:
+    """The margin at which to part the classes: least errors where positives have the share ``prior``.
+
+    Of equally good places the middle of the first run of them is taken.
+    """
+    high, low = max(label.sum(), 1.0), max((1 - label).sum(), 1.0)
+    weight = np.where(label > 0, prior / high, -(1 - prior) / low)
+    order = np.argsort(margin, kind="stable")
+    ascending = margin[order]
+    # Cost of a cut before each row: positives below it are missed, clean rows above it are taken.
+    cost = np.concatenate([[0.0], np.cumsum(weight[order])])
+    cuts = np.concatenate([[ascending[0] - 1.0], (ascending[1:] + ascending[:-1]) / 2, [ascending[-1] + 1.0]])
+    good = np.flatnonzero(cost <= cost.min() + 1e-12)
+    breaks = np.flatnonzero(np.diff(good) > 1)
+    last = good[breaks[0]] if len(breaks) else good[-1]
+    return float((cuts[good[0]] + cuts[last]) / 2)

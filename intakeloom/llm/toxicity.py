@@ -10,7 +10,7 @@ prior-corrected share among clean texts.
 
 * The prior is the share of toxic rows among the labels of the training folds.
   Labels of a part of the sample kept out of the fit turn the mean margin of the
-  classifiers into a probability.
+  classifiers into a score that is 1/2 where errors weigh least at that prior.
 * Fitted on at most ``limit`` positives, ``limit`` clean labels (for the
   calibration only) and ``2 * limit`` unlabelled texts, those of the least id
   hashes, which the driver holds; every text is scored whole.
@@ -59,8 +59,9 @@ def non_negative_risk(
 ) -> tuple[np.ndarray, float]:
     """Weights and bias after mini-batches of the non-negative estimator with sigmoid loss (Adam steps)."""
     draw = np.random.default_rng(seed)
-    weights, bias = np.zeros(ft.SIZE), -1.0
-    mean, square = np.zeros(ft.SIZE + 1), np.zeros(ft.SIZE + 1)
+    size = len(values)
+    weights, bias = np.zeros(size), -1.0
+    mean, square = np.zeros(size + 1), np.zeros(size + 1)
     batches = max(1, min(32, len(positive) // 16, len(unlabelled) // 16))
     count = 0
     for _ in range(rounds):
@@ -83,10 +84,10 @@ def non_negative_risk(
                 row_slopes = (-2 * prior * p_slope, u_slope)
             else:  # the estimate has gone below what can be: step back
                 row_slopes = (prior * p_slope, -u_slope)
-            gradient = np.zeros(ft.SIZE + 1)
+            gradient = np.zeros(size + 1)
             for (flat, starts, _), slopes in zip(sides, row_slopes):
                 gradient[:-1] += np.bincount(
-                    flat, np.repeat(slopes, np.diff(starts)) * values[flat], minlength=ft.SIZE
+                    flat, np.repeat(slopes, np.diff(starts)) * values[flat], minlength=size
                 )
                 gradient[-1] += slopes.sum()
             gradient[:-1] += decay * weights
@@ -134,14 +135,21 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = 2000) -> ft.Model:
     positive = [row[2] for row in of[POSITIVE] if row[0] not in outside]
     crowd = [row[2] for row in of[UNLABELLED] if row[0] not in outside] or [row[2] for row in of[UNLABELLED]]
     values = evidence(positive, crowd, prior)
-    fits = [non_negative_risk(positive, crowd, values, prior, seed) for seed in range(CLASSIFIERS)]
-    model = ft.Model(
-        np.mean([weights for weights, _ in fits], 0), float(np.mean([bias for _, bias in fits]))
-    )
+    # Only features that speak for toxicity have a weight; the fit sees no others.
+    active = np.flatnonzero(values > 0)
+    number = np.full(ft.SIZE, -1)
+    number[active] = np.arange(len(active))
+    told, crowd_told = ([number[x][number[x] >= 0] for x in lists] for lists in (positive, crowd))
+    fits = [non_negative_risk(told, crowd_told, values[active], prior, seed) for seed in range(CLASSIFIERS)]
+    weights = np.zeros(ft.SIZE)
+    weights[active] = np.mean([found for found, _ in fits], 0)
+    model = ft.Model(weights, float(np.mean([bias for _, bias in fits])))
     chosen = np.flatnonzero(apart) if apart.any() else np.arange(len(marked))
     margin = np.array([model.margin(marked[k][2]) for k in chosen])
-    slope, shift = ft.calibrated(margin, label[chosen])
-    return replace(model, slope=slope, shift=shift)
+    slope, _ = ft.calibrated(margin, label[chosen])
+    if 0 < label[chosen].sum() < len(chosen):
+        return replace(model, slope=slope, shift=-slope * ft.least_cost(margin, label[chosen], prior))
+    return model
 
 
 def scored(documents: DataFrame, labels: DataFrame, limit: int = 2000, text_col: str = "text") -> DataFrame:
