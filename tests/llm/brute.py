@@ -1,4 +1,4 @@
-"""Plain versions of the operators SQL cannot express."""
+"""Plain versions of the operators SQL cannot express, and odd texts to try them on."""
 
 from __future__ import annotations
 
@@ -6,6 +6,23 @@ import hashlib
 import re
 
 
+LONG = "Lorem ipsum dolor sit amet, +49 (30) 901820 und x@y.example.org wieder. " * 3000
+TEXTS = [
+    (1, "One line of words that stays\nand another line of words here", "a"),
+    (2, "", "a"),
+    (3, None, None),
+    (None, "A document without an id and its own words", None),
+    (None, None, "b"),
+    (4, LONG, "b"),
+    (5, "twice the same row with the same words in it", "a"),
+    (5, "twice the same row with the same words in it", "a"),
+    (6, "twice the same row with the same words in it", "b"),
+    (7, "  \n\t \n", "c"),
+    (8, "İstanbul ﬁ ² Ⅷ 日本語 \U0001f600\x1c end", "c"),
+    (9, "password = 'abcdef123456' +1 (555) 123-4567 me@host.example.com 4111 1111 1111 1111, 10.0.0.255", "c"),
+]
+
+
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 

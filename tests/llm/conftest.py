@@ -7,24 +7,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-LONG = "Lorem ipsum dolor sit amet, +49 (30) 901820 und x@y.example.org wieder. " * 3000
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n bigint, sig string, key string, size int"
-TEXTS = [
-    (1, "One line of words that stays\nand another line of words here", "a"),
-    (2, "", "a"),
-    (3, None, None),
-    (None, "A document without an id and its own words", None),
-    (None, None, "b"),
-    (4, LONG, "b"),
-    (5, "twice the same row with the same words in it", "a"),
-    (5, "twice the same row with the same words in it", "a"),
-    (6, "twice the same row with the same words in it", "b"),
-    (7, "  \n\t \n", "c"),
-    (8, "İstanbul ﬁ ² Ⅷ 日本語 \U0001f600\x1c end", "c"),
-    (9, "password = 'abcdef123456' +1 (555) 123-4567 me@host.example.com 4111 1111 1111 1111, 10.0.0.255", "c"),
-]
-
+from brute import TEXTS  # noqa: E402
 
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n bigint, sig string, key string, size int"
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in every column, repeats, ties, empty and long texts, and columns operators use inside."""

@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, repeats, ties, empty tables and clashing names."""
 
+import math
+
+import numpy as np
 import tiktoken
-from brute import components, personal, secrets, written_out
-from conftest import TEXTS
+from brute import TEXTS, components, personal, secrets, written_out
 from pyspark.sql import functions as F
 
 from intakeloom.llm import (
@@ -37,7 +39,7 @@ def test_voronoi(spark):
     for row in voronoi.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5).collect():
         got.setdefault(row.query_id, []).append((row.rank, row.vec_id, row.score))
     whole = [
-        (i, [__import__("math").floor(256 * x) for x in v])
+        (i, [math.floor(256 * x) for x in v])
         for i, v in rows
         if i is not None and v is not None and all(x is not None and abs(x) < float("inf") for x in v)
     ]
@@ -64,7 +66,7 @@ def test_voronoi_in_tiles(spark, monkeypatch):
     )
     queries = vectors.where("vec_id % 10 = 0")
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in voronoi.nearest(vectors, queries, 4).collect()}
-    rows = [(r.vec_id, [__import__("math").floor(256 * x) for x in r.embedding]) for r in vectors.collect()]
+    rows = [(r.vec_id, [math.floor(256 * x) for x in r.embedding]) for r in vectors.collect()]
     for query, q in rows[::10]:
         best = sorted((-sum(x * y for x, y in zip(q, v)), i) for i, v in rows if i != query)[:4]
         assert [got[query, k + 1] for k in range(4)] == [(i, -s) for s, i in best]
@@ -203,6 +205,15 @@ def test_features():
     assert len(stems("word")) == 1 and len(stems("word word")) == 2
 
 
+def test_place_between_classes():
+    margin = np.array([-3.0, -2.0, -1.0, 1.0, 2.0])
+    label = np.array([0.0, 0, 0, 1, 1])
+    assert features.least_cost(margin, label, 0.1) == 0.0
+    assert features.least_cost(margin, np.array([0.0, 0, 1, 0, 1]), 0.1) == 1.5  # clean rows weigh more
+    slope, shift = features.calibrated(margin, label)
+    assert slope > 0 and 1 / (1 + np.exp(-(slope * 2 + shift))) > 0.5
+
+
 def test_personal(odd, empty, spark):
     out = pii.found(odd)
     assert out.columns == [*odd.columns, "personal_spans"] and out.count() == odd.count()
