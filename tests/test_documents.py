@@ -229,6 +229,19 @@ def test_required_fields(spark):
     assert empty.confidence_score == 0.0
 
 
+def test_intake_knows_pages_and_tables(spark):
+    frame = docs(spark, (1, "a.pdf", "Invoice Number: N-1\nTotal: $5"), (2, "b.pdf", "Total: $5")).selectExpr(
+        "*", "30 AS pages", "doc_id = 1 AS tables"
+    )
+    plain = {r.doc_id: r for r in route_and_extract(frame).collect()}
+    told = {r.doc_id: r for r in route_and_extract(frame, page_count="pages", has_tables="tables").collect()}
+    assert told[1].confidence_score == pytest.approx(plain[1].confidence_score + 0.1)
+    assert told[2].confidence_score == plain[2].confidence_score
+    for row in told.values():
+        assert "Consider document summarization for large PDFs" in row.recommendations
+    assert told[1].content_md5 == plain[1].content_md5
+
+
 def test_intake_reads_every_route(spark):
     frame = docs(
         spark,
