@@ -4,8 +4,8 @@ With a coordinate added that gives all data vectors one length, a higher inner
 product is a smaller distance.  Rows are assigned to the nearest of a bounded
 number of pivots.  Summaries of the cells (radius, count, the k+1 rows nearest to
 the pivot) bound how far the k-th neighbour of any query of a cell can be; a data
-row goes to a cell of queries only if its distance from that cell's pivot, less
-the cell's radius, is within the bound.  What meets is solved in tiles of bounded
+row goes to a group of query cells only if, for one of them, its distance from the
+cell's pivot, less the cell's radius, is within the bound.  What meets is solved in tiles of bounded
 size, and the best of the tiles are merged.
 
 * Components become floor(256 * x).  Vectors that are null or hold a null, NaN
@@ -16,8 +16,9 @@ size, and the best of the tiles are merged.
   it gets them all.  Null ids take no part.  An empty table gives no rows.
 * The bounds are widened by what rounding can do, and inner products of the
   result are whole numbers, so the result is exact.
-* A cell that holds a third of the queries is cut into tiles of ``TILE_QUERIES``,
-  copies of data rows into tiles of ``TILE_ROWS``: no task holds a cell.
+* Cells are grouped, and a cell that holds a third of the queries is cut, into
+  tiles of about ``TILE_QUERIES``; copies of data rows into tiles of ``TILE_ROWS``:
+  no task holds a cell, and a row has at most one copy a tile of queries.
 * Queries equal in id and vector count once.
 * The driver holds the pivots and a summary row per cell, at most ``PIVOTS``.
 """
@@ -158,10 +159,16 @@ def nearest(
         .collect()
     )
     apart = _distances(pivots, pivot_extra, pivots, pivot_extra)
+    # Neighbouring cells of queries are grouped up to the size of a tile.
+    first = asked_cells[0].cell
+    asked_cells.sort(key=lambda row: (apart[first, row.cell], row.cell))
     cells = np.array([row.cell for row in asked_cells])
     radius = np.array([row.radius for row in asked_cells])
-    tiles = np.array([math.ceil(row.members / TILE_QUERIES) for row in asked_cells])
-    tile_of = {int(cell): k for k, cell in enumerate(cells)}
+    members = np.array([row.members for row in asked_cells])
+    group = (np.cumsum(members) - members) // TILE_QUERIES
+    _, begins, group = np.unique(group, return_index=True, return_inverse=True)
+    tiles = np.ceil(np.bincount(group, members) / TILE_QUERIES).astype(np.int64)
+    group_of = {int(cell): int(k) for cell, k in zip(cells, group)}
     reach = np.full(len(cells), np.inf)
     for at, cell in enumerate(cells):
         far = np.sort(np.concatenate([np.array(row.nearest) + apart[row.cell, cell] for row in near]))
@@ -170,30 +177,31 @@ def nearest(
     reach = reach + np.sqrt(slack) + 1e-6
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            away, _ = places(batch, False)
-            row, at = np.nonzero(away[:, cells] - radius[None, :] <= reach[None, :])
-            copies = tiles[at]
-            row, at = np.repeat(row, copies), np.repeat(at, copies)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(at.astype(np.int32)),
-                    pa.array(part.astype(np.int32)),
-                    batch.column(0).take(pa.array(row)),
-                    batch.column(1).take(pa.array(row)),
-                ],
-                names=["at", "part", "id", "vector"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                away, _ = places(batch, False)
+                within = away[:, cells] - radius[None, :] <= reach[None, :]
+                row, at = np.nonzero(np.logical_or.reduceat(within, begins, axis=1))
+                copies = tiles[at]
+                row, at = np.repeat(row, copies), np.repeat(at, copies)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)[: len(row)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(at.astype(np.int32)),
+                        pa.array(part.astype(np.int32)),
+                        batch.column(0).take(pa.array(row)),
+                        batch.column(1).take(pa.array(row)),
+                    ],
+                    names=["at", "part", "id", "vector"],
+                )
 
     def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             _, cell = places(batch, True)
-            at = np.array([tile_of[int(c)] for c in cell])
+            at = np.array([group_of[int(c)] for c in cell])
             spread = (batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -228,8 +236,8 @@ def _solved(data, asked, replicate, deal_queries, width: int, k: int) -> DataFra
             rows = rows.sort_values("id", kind="stable")
             ids = rows["id"].to_numpy(np.int64)
             vectors = matrix(pa.array(rows["vector"], pa.list_(pa.float64())), width)
-            for at in range(0, len(queries), 256):
-                some = queries.iloc[at : at + 256]
+            for at in range(0, len(queries), 128):
+                some = queries.iloc[at : at + 128]
                 scores = products(matrix(pa.array(some["asked_vector"], pa.list_(pa.float64())), width), vectors)
                 found += top(scores, some["asked_id"].to_numpy(np.int64), ids, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
