@@ -2,8 +2,8 @@
 
 With a coordinate added that gives all data vectors one length, a higher inner
 product is a smaller distance.  Rows are assigned to the nearest of a bounded
-number of pivots.  Summaries of the cells (radius, count, the k+1 rows nearest to
-the pivot) bound how far the k-th neighbour of any query of a cell can be; a data
+number of pivots.  Summaries of the cells (radius, count, the nearest rows of the
+k+1 ids nearest to the pivot) bound how far the k-th neighbour of any query of a cell can be; a data
 row goes to a group of query cells only if, for one of them, its distance from the
 cell's pivot, less the cell's radius, is within the bound.  What meets is solved in tiles of bounded
 size, and the best of the tiles are merged.
@@ -13,7 +13,8 @@ size, and the best of the tiles are merged.
   zeros, an empty one as zero; inner products beyond 64 bits stop at its limits.
 * Ties go to the smaller id, then rows with equal ids count as several
   candidates.  A query's candidates are all rows of other ids; with fewer than k
-  it gets them all.  Null ids take no part.  An empty table gives no rows.
+  it gets them all.  A table of k ids or fewer is compared whole.  Null ids take
+  no part.  An empty table gives no rows.
 * The bounds are widened by what rounding can do, and inner products of the
   result are whole numbers, so the result is exact.
 * Cells are grouped, and a cell that holds a third of the queries is cut, into
@@ -142,13 +143,15 @@ def nearest(
         return run
 
     assigned = "id bigint, cell int, away double"
-    # The k+1 rows nearest to each pivot: one may be the query itself.
+    # The nearest rows of the k+1 ids nearest to each pivot: one may be the query's own, and all rows of it are out.
     near = (
         data.mapInArrow(assign(False), assigned)
-        .withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("away")))
+        .groupBy("cell", "id")
+        .agg(F.min("away").alias("away"))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("away", "id")))
         .where(F.col("nth") <= k + 1)
         .groupBy("cell")
-        .agg(F.collect_list("away").alias("nearest"))
+        .agg(F.collect_list(F.struct("id", "away")).alias("nearest"))
         .collect()
     )
     asked_cells = (
@@ -171,9 +174,12 @@ def nearest(
     group_of = {int(cell): int(k) for cell, k in zip(cells, group)}
     reach = np.full(len(cells), np.inf)
     for at, cell in enumerate(cells):
-        far = np.sort(np.concatenate([np.array(row.nearest) + apart[row.cell, cell] for row in near]))
-        if len(far) > k:
-            reach[at] = radius[at] + far[k]
+        least: dict[int, float] = {}  # an id's nearest row, in whatever cell
+        for row in near:
+            for one in row.nearest:
+                least[one.id] = min(least.get(one.id, np.inf), one.away + apart[row.cell, cell])
+        if len(least) > k:
+            reach[at] = radius[at] + sorted(least.values())[k]
     reach = reach + np.sqrt(slack) + 1e-6
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,18 @@ def test_voronoi_in_tiles(spark, monkeypatch):
         assert [got[query, k + 1] for k in range(4)] == [(i, -s) for s, i in best]
 
 
+def test_voronoi_of_a_repeated_id(spark):
+    """Rows of the query's own id, however many, do not stand for its neighbours."""
+    units = np.random.default_rng(7).normal(size=(100, 64))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    rows = [(k, unit.tolist()) for k, unit in enumerate(units)] + [(50, units[50].tolist())] * 6
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in voronoi.nearest(vectors, vectors.where("vec_id = 50"), 5).collect()]
+    whole = np.floor(256 * units).astype(int)
+    best = sorted((-int(whole[50] @ whole[k]), k) for k in range(100) if k != 50)[:5]
+    assert sorted(got) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+
+
 def test_templates(odd, empty, spark):
     out = templates.without_recurring(odd)
     assert out.columns == [*odd.columns, "template_lines", "template_dropped"]
