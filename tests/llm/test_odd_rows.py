@@ -258,3 +258,26 @@ def test_secrets(odd, empty):
     ]
     for text in tricky:
         assert keys.written_out(keys.base_spans(text)) == written_out(secrets(text))
+
+
+def test_secrets_beyond_the_formats(spark):
+    """The network is fitted, also where few documents of many hold findings, and adds a key no format takes."""
+    draw = np.random.default_rng(11)
+
+    def key(size, signs):
+        return "".join(draw.choice(list(signs), size))
+
+    planted, rows = key(40, "0123456789ABCDEF"), []
+    for k in range(3001):
+        words = [key(draw.integers(3, 12), "abcdefghijklmnopqrstuvwxyz") for _ in range(20)]
+        words[5], words[9] = f"host{k % 50}.example.com", key(16, "0123456789")
+        if k % 50 == 0:
+            words[12] = f'token = "{key(40, "0123456789ABCDEF")}"'
+        if k == 3000:
+            words[12] = f'pwd = "{planted}"'
+        rows.append((k, " ".join(words)))
+    start = rows[3000][1].index(planted)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {row.doc_id: row.secret_spans for row in keys.scanned(frame, limit=400).collect()}
+    assert [(s.kind, s.start, s.end) for s in found[3000]] == [("model", start, start + 40)]
+    assert sum(s.kind == "model" for spans in found.values() for s in spans) < 30
