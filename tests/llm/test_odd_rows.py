@@ -272,7 +272,8 @@ def test_secrets_beyond_the_formats(spark):
         words = [key(draw.integers(3, 12), "abcdefghijklmnopqrstuvwxyz") for _ in range(20)]
         words[5], words[9] = f"host{k % 50}.example.com", key(16, "0123456789")
         if k % 50 == 0:
-            words[12] = f'token = "{key(40, "0123456789ABCDEF")}"'
+            name = ("token", "secret", "password", "api_key")[k // 50 % 4]
+            words[12] = f'{name} = "{key(40, "0123456789ABCDEF")}"'
         if k == 3000:
             words[12] = f'pwd = "{planted}"'
         rows.append((k, " ".join(words)))
@@ -281,3 +282,18 @@ def test_secrets_beyond_the_formats(spark):
     found = {row.doc_id: row.secret_spans for row in keys.scanned(frame, limit=400).collect()}
     assert [(s.kind, s.start, s.end) for s in found[3000]] == [("model", start, start + 40)]
     assert sum(s.kind == "model" for spans in found.values() for s in spans) < 30
+
+
+def test_secrets_keep_their_recall():
+    """The threshold keeps the held-out findings where they score below one half, and context words can be told apart."""
+    assert not np.array_equal(keys.windows("a pwd: x7x7x7x7", [(7, 15)]), keys.windows("a ref: x7x7x7x7", [(7, 15)]))
+    draw = np.random.default_rng(4)
+    codes = draw.integers(0, 12, (400, 64)).astype(np.uint8)
+    label = (np.arange(400) % 4 == 0).astype(float)  # nothing tells the classes apart
+    net = keys.bounded(keys.Network.trained(codes, label), codes, label)
+    low = keys.Network(net.filters, net.offsets, net.outputs, net.bias - 9)
+    for one in (net, keys.bounded(low, codes, label)):
+        assert (one.score(codes[label > 0]) >= one.threshold).mean() >= keys.RECALL
+    hidden = draw.integers(0, 12, (400, 64)).astype(np.uint8)
+    other = keys.bounded(net, hidden, label)
+    assert other.threshold < 0.5 and abs(other.score(hidden).mean() - label.mean()) < 0.05
