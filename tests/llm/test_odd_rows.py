@@ -246,6 +246,16 @@ def test_personal(odd, empty, spark):
         assert spans == personal(row.text), row.text[:60]
 
 
+def test_personal_with_more_candidates_than_learnt_from(spark):
+    """The bounded sample is drawn from candidates of all lengths, so both classes are in it."""
+    rows = [
+        (k, " ".join(f"{k * 97 + j:04d}-{j * 331 + k:04d} then user{k}x{j}@mail{j}.example.com," for j in range(10)))
+        for k in range(50)
+    ]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert pii.fit(frame, limit=50) is not None
+
+
 def test_secrets(odd, empty):
     out = keys.scanned(odd)
     assert out.columns == [*odd.columns, "secret_spans"] and out.count() == odd.count()
