@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intakeloom.llm import bpe, jaccard, mixing, templates, toxicity
+from intakeloom.llm import bpe, jaccard, mixing, passages, templates, toxicity
 from intakeloom.llm.queries import vocabulary
 from intakeloom.llm.shared import table, written
 
@@ -21,8 +21,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; every document stays, if only with an empty text."""
-    without = templates.without_recurring(docs).select(*docs.columns)
+    """Lines of recurring templates and passages of 50 words met before go; every document stays, if only with an empty text."""
+    without = written(templates.without_recurring(docs).select(*docs.columns), "pipeline-lines")
+    without = passages.without_passages(without)
     return without.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

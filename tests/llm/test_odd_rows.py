@@ -12,6 +12,7 @@ from intakeloom.llm import (
     features,
     jaccard,
     mixing,
+    passages,
     quality,
     syncmers,
     templates,
@@ -100,6 +101,28 @@ def test_templates(odd, empty, spark):
     assert got[0].endswith(lines[0]) and all(got[k] == f"Own words of document {'abcd'[k]} here" for k in (1, 2, 3))
 
 
+def test_passages(odd, empty, spark):
+    """A passage two documents share, within longer lines and cut over lines, goes from all but the first."""
+    import corpus_pipeline
+
+    passage = [f"p{k}" for k in range(60)]
+    rows = [
+        (k, " ".join(f"own{k}x{j}" for j in range(9)) + " " + gap.join(passage) + f" tail{k} and more")
+        for k, gap in ((1, " "), (2, "\n"))
+    ]
+    rows += [(3, " ".join(passage[:49])), (4, " ".join(f"w{j}" for j in range(300))), (None, " ".join(passage))]
+    rows += [(5, " ".join(f"w{j}" for j in range(251))), (6, "a b " * 40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
+    got = {row.doc_id: row.text for row in corpus_pipeline.lines(spark, frame, "").collect()}
+    texts = dict(rows)
+    assert all(got[k] == texts[k] for k in (1, 3, 4, 6))
+    assert got[2].split() == [*(f"own2x{j}" for j in range(9)), "tail2", "and", "more"]
+    assert got[None] == "" and got[5] == ""
+    out = passages.without_passages(odd)
+    assert out.columns == odd.columns and texts_of(out) == texts_of(odd)
+    assert passages.without_passages(empty).count() == 0
+
+
 def test_mixing(odd, empty):
     out = mixing.mixed(odd)
     assert out.columns[: len(odd.columns)] == odd.columns and out.count() == odd.count()
