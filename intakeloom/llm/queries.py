@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intakeloom.llm import bpe, jaccard, mixing, personal, quality, secrets, syncmers, templates, toxicity, voronoi
+from intakeloom.llm import (
+    bpe,
+    jaccard,
+    merkle,
+    mixing,
+    personal,
+    quality,
+    secrets,
+    syncmers,
+    templates,
+    toxicity,
+    voronoi,
+)
 from intakeloom.llm import features as ft
 from intakeloom.llm.shared import Query, table
 
@@ -260,3 +272,67 @@ def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.grouped(table(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id"
     )
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc_of),
+fields AS (
+  SELECT row_number() OVER () AS n, doc_id, source, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         xor(list_reduce(string_split(CAST(doc_id AS VARCHAR), ''), lambda c, x:
+           xor(c >> 8, crc_of[CAST(xor(c & 255, ascii(x)) AS BIGINT) + 1]), 4294967295), 4294967295) % 5 = 0 AS hit
+  FROM documents, crc_table),
+docs AS (
+  SELECT n, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' ||
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS changed, hit
+  FROM fields),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, n) - 1 AS place,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS rank
+  FROM docs),
+levels(rank, level, l) AS (
+  SELECT rank, 0, list(leaf ORDER BY place) FROM ranked GROUP BY rank
+  UNION ALL
+  SELECT rank, level + 1, list_transform(range(0, len(l), 16), lambda i: sha256(array_to_string(l[i + 1:i + 16], '')))
+  FROM levels WHERE len(l) > 1),
+subroots AS (SELECT rank, l[1] AS subroot FROM levels WHERE len(l) = 1),
+above(level, l) AS (
+  SELECT 0, list(subroot ORDER BY rank) FROM subroots HAVING count(*) > 0
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(l), 16), lambda i: sha256(array_to_string(l[i + 1:i + 16], '')))
+  FROM above WHERE len(l) > 1),
+met AS (
+  SELECT n, level, l, place AS p FROM ranked JOIN levels USING (rank) WHERE len(l) > 1
+  UNION ALL
+  SELECT n, 100 + above.level, l, rank FROM ranked, above WHERE len(l) > 1),
+steps AS (
+  SELECT n, row_number() OVER (PARTITION BY n ORDER BY level) AS step,
+         l[(p >> (4 * (level % 100 + 1))) * 16 + 1:(p >> (4 * (level % 100 + 1))) * 16 + 16] AS run,
+         (p >> (4 * (level % 100))) % 16 AS slot
+  FROM met),
+folded(n, step, fold) AS (
+  SELECT n, 0, CASE WHEN hit THEN changed ELSE leaf END FROM docs
+  UNION ALL
+  SELECT n, s.step, sha256(array_to_string(run[:slot], '') || fold || array_to_string(run[slot + 2:], ''))
+  FROM folded f JOIN steps s USING (n) WHERE s.step = f.step + 1),
+ends AS (SELECT n, arg_max(fold, step) AS fold FROM folded GROUP BY n),
+proofs AS (
+  SELECT n, string_agg(array_to_string(run[:slot], '') || array_to_string(run[slot + 2:], ''), '' ORDER BY step) AS siblings
+  FROM steps GROUP BY n)
+SELECT doc_id, leaf, subroot, r.root, sha256(coalesce(siblings, '')) AS proof_sha256, fold AS folded_root, fold = r.root AS verified
+FROM ranked JOIN subroots USING (rank) JOIN ends USING (n) LEFT JOIN proofs USING (n),
+     (SELECT l[1] AS root FROM above WHERE len(l) = 1) r
+"""
+
+
+@query("op11_merkle", MERKLE_SQL)
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Proof of every document, and whether the document as it may have been tampered with still proves."""
+    found = merkle.proofs(table(spark, folder, "documents"), merkle.tampered(5))
+    proof = F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")

@@ -90,3 +90,46 @@ def components(rows: list[tuple[int, str | None]], size: int, percent: int) -> d
                 one, other = sorted((root(a), root(b)))
                 least[other] = one
     return {doc: root(doc) for doc in ids}
+
+
+def merkle(rows: list[tuple]) -> list[tuple]:
+    """For rows of (doc_id, source, lang, n_chars, text): doc_id, leaf, subroot, root, proof, folded root."""
+    import zlib
+
+    def one(value):
+        if value is None:
+            return "-"
+        return f"{len(str(value).encode())}:{value}"
+
+    def up(nodes, places):
+        """Root of the nodes; appends each place's siblings and the way to put its digest back."""
+        while len(nodes) > 1:
+            for place in places:
+                start, slot = place["at"] // 16 * 16, place["at"] % 16
+                run = nodes[start : start + 16]
+                place["proof"] += "".join(run[:slot] + run[slot + 1 :])
+                place["fold"] = sha("".join([*run[:slot], place["fold"], *run[slot + 1 :]]))
+                place["at"] //= 16
+            nodes = [sha("".join(nodes[k : k + 16])) for k in range(0, len(nodes), 16)]
+        return nodes[0] if nodes else None
+
+    trees = {}
+    for row in rows:
+        doc, *rest, text = row
+        leaf = sha("".join(one(value) for value in row))
+        fold = leaf
+        if doc is not None and text is not None and zlib.crc32(str(doc).encode()) % 5 == 0:
+            changed = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+            fold = sha("".join(one(value) for value in (doc, *rest, changed)))
+        trees.setdefault(row[1], []).append({"id": doc, "leaf": leaf, "fold": fold, "proof": ""})
+    roots, every = [], []
+    for rank, source in enumerate(sorted(trees, key=lambda s: (s is not None, (s or "").encode()))):
+        places = sorted(trees[source], key=lambda x: (x["id"] is not None, x["id"] or 0, x["leaf"]))
+        for k, place in enumerate(places):
+            place["at"] = k
+        roots.append(up([place["leaf"] for place in places], places))
+        for place in places:
+            place.update(at=rank, subroot=roots[-1])
+        every += places
+    root = up(roots, every)
+    return [(x["id"], x["leaf"], x["subroot"], root, x["proof"], x["fold"]) for x in every]
