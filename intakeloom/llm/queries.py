@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from intakeloom.llm import (
     bpe,
     jaccard,
+    licenses,
     merkle,
     mixing,
     personal,
@@ -336,3 +337,48 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     found = merkle.proofs(table(spark, folder, "documents"), merkle.tampered(5))
     proof = F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256")
     return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def template_values() -> str:
+    """The templates as rows of SQL."""
+    return ", ".join(
+        f"('{one.label}', {one.phrase}, [{', '.join(repr(word) for word in one.words)}], {one.need})"
+        for one in licenses.templates()
+    )
+
+
+LICENSES_SQL = rf"""
+WITH templates(label, phrase, sequence, need) AS (VALUES {template_values()}),
+words AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '{licenses.WORD}') AS w
+  FROM documents),
+blocks AS (
+  SELECT n, w, start, list_distinct(w[start + 1:start + {licenses.BLOCK}]) AS held
+  FROM words, unnest(range(0, len(w), {licenses.STEP})) s(start)),
+met AS (
+  SELECT n, label, phrase, start, w, sequence, len(list_intersect(held, sequence)) / len(list_distinct(sequence)) AS containment
+  FROM blocks, templates WHERE len(list_intersect(held, sequence)) >= need),
+found AS (
+  SELECT n, label, phrase, containment, CASE WHEN phrase THEN list_filter(range(start, start + {licenses.STEP}),
+    lambda k: w[k + 1:k + len(sequence)] = sequence) END AS places
+  FROM met),
+sums AS (
+  SELECT n, sum(len(places)) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(containment) AS score
+  FROM found WHERE NOT phrase OR len(places) > 0 GROUP BY n)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM words LEFT JOIN sums USING (n)
+"""
+
+
+@query("op12_licenses", LICENSES_SQL)
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scanned(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
