@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from intakeloom.llm import (
     bpe,
+    collocations,
     jaccard,
     licenses,
     merkle,
@@ -382,3 +383,39 @@ def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
     )
+
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+counts AS (
+  SELECT lang, size, array_to_string(w[k:k + size - 1], ' ') AS phrase, count(*) AS f
+  FROM words, range(1, 5) s(size), unnest(range(1, len(w) - size + 2)) p(k) GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, size, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head,
+         array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM counts, range(1, 4) c(k) WHERE k < size),
+scores AS (
+  SELECT c.lang, c.size, c.phrase, a, h.f AS l, t.f AS r, k, CAST(a AS HUGEINT) * 2000000 // (h.f + t.f) AS score
+  FROM cuts c JOIN counts h ON (h.lang, h.phrase) = (c.lang, c.head) JOIN counts t ON (t.lang, t.phrase) = (c.lang, c.tail)),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[k:k + m - 1], ' ') AS phrase, max(f) AS f
+  FROM counts, range(2, 4) l(m), range(1, 4) s(k) WHERE m < size AND k + m - 1 <= size GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inside i ON (i.lang, i.phrase) = (b.lang, b.phrase)
+  WHERE i.f IS NULL OR CAST(i.f AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, CAST(t.n AS BIGINT) AS n, CAST(r.score AS BIGINT) AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATIONS_SQL)
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The two thousand best phrases of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
