@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,7 +192,7 @@ def smallest(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
-def widened(data: pa.Buffer, n: int) -> np.ndarray:
+def widened(data: bytes, n: int) -> np.ndarray:
     kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n]
     return np.frombuffer(data, kind).astype(np.int64)
 
@@ -237,6 +238,7 @@ def dealt(codes: np.ndarray, hashes: np.ndarray, plan: Plan) -> tuple[np.ndarray
 
 def _sent(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for chunk in chunks(batches):
             codes, counts, kept = suffixes(chunk, plan)
             if not codes.shape[1]:
@@ -261,7 +263,7 @@ def _sent(plan: Plan):
                 packed = smallest(own[part])
                 n = smallest(counts[start:end])
                 where, depth = divmod(int(key[start]), DEPTH + 1)
-                rows.append((where, depth, chunk.language, int(end - start), words, packed.tobytes(), n.tobytes()))
+                rows.append((where, depth, chunk.language, int(end - start), pack(words), pack(packed.tobytes()), pack(n.tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*rows), SENT)], schema=SENT)
 
     return run
@@ -301,6 +303,7 @@ FOUND = "lang string, phrase string, size int, f bigint"
 
 def _counted(least: int):
     def run(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
         parts: dict[tuple[str, int], list[dict]] = {}
         for row in range(table.num_rows):
             one = {name: table.column(name)[row] for name in table.column_names}
@@ -311,10 +314,10 @@ def _counted(least: int):
             codes, counts = [], []
             for one in rows:
                 m = one["m"].as_py()
-                own = widened(one["codes"].as_buffer(), DEPTH * m).reshape(DEPTH, m)
+                own = widened(unpack(one["codes"].as_buffer()), DEPTH * m).reshape(DEPTH, m)
                 codes.append(np.where(own > 0, own + len(names), 0))
-                counts.append(widened(one["counts"].as_buffer(), m))
-                names += one["words"].as_py().split(b" ")
+                counts.append(widened(unpack(one["counts"].as_buffer()), m))
+                names += unpack(one["words"].as_buffer()).split(b" ")
             coded = pa.array(names, pa.binary()).dictionary_encode()
             number = np.append(0, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1)
             phrases = frequent(number[np.concatenate(codes, axis=1)], np.concatenate(counts), least, by)
