@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intakeloom import fixed_values as fv
-from intakeloom.functions import names
 from intakeloom.functions.jsontext import fields as variant_fields
 from intakeloom.functions.text import (
     all_matches,
@@ -18,6 +17,7 @@ from intakeloom.functions.text import (
     quick,
     strip,
 )
+from intakeloom.operators import mime
 from intakeloom.operators.replies import one_reply_each, with_mail_reply
 
 # What a phone number can start with.
@@ -243,76 +243,14 @@ def extract_mail(
 # ------------------------------------------------------------------ attachments
 
 
-def _parameter(headers: Column, pattern: str) -> Column:
-    return null_if_empty(F.regexp_extract(headers, pattern, 1))
-
-
 def message_parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per MIME part: ``part_no, headers, content_type, disposition, filename, payload``.
+    """The MIME parts inside each message, numbered from 0, depth first.
 
-    Every boundary the message declares is a delimiter, so parts of nested
-    multiparts come out as well.  Payloads are base64 or taken as they are.
+    See :func:`intakeloom.operators.mime.message_parts`, which also gives the
+    message itself.
     """
-    body_text = F.regexp_replace(F.col(text), "\r\n", "\n")
-    boundaries = F.array_distinct(
-        F.regexp_extract_all(body_text, F.lit(r'(?i)boundary="?([^"\s;]+)"?'), F.lit(1))
-    )
-    quoted = F.transform(boundaries, lambda b: F.concat(F.lit(r"\Q"), b, F.lit(r"\E")))
-    delimiter = F.concat(
-        F.lit("(?dm)^--(?:"), F.array_join(quoted, "|"), F.lit(r")(?:--)?[ \t]*(?:\n|\z)")
-    )
-    pieces = (
-        docs.filter(F.rlike(F.col(text), F.lit(r"(?i)boundary=")))
-        .withColumn("_pieces", F.split(body_text, delimiter))
-        .select(
-            *[c for c in docs.columns if c != text],
-            F.posexplode(F.slice("_pieces", 2, F.size("_pieces"))).alias("part_no", "_part"),
-        )
-        # what follows a closing delimiter is no part
-        .filter(F.length(strip(F.col("_part"))) > 0)
-    )
-    cut = pieces.withColumn("_cut", F.split(F.col("_part"), r"(?dm)^[ \t]*\n", 2))
-    headers = F.regexp_replace(F.get("_cut", F.lit(0)), r"\n[ \t]+", " ")
-    raw = F.coalesce(F.get("_cut", F.lit(1)), F.lit(""))
-    typed = cut.withColumns({"headers": headers, "_raw": raw}).withColumns(
-        {
-            "content_type": F.lower(
-                F.coalesce(
-                    _parameter(F.col("headers"), r"(?im)^content-type:\s*([^;\s]+)"),
-                    F.lit("text/plain"),
-                )
-            ),
-            "disposition": F.coalesce(
-                _parameter(F.col("headers"), r"(?im)^content-disposition:\s*([^\n]*)"), F.lit("")
-            ),
-            "encoding": F.lower(
-                F.coalesce(
-                    _parameter(F.col("headers"), r"(?im)^content-transfer-encoding:\s*(\S+)"),
-                    F.lit("7bit"),
-                )
-            ),
-        }
-    )
-    filename = F.coalesce(
-        _parameter(F.col("disposition"), r'(?i)filename="([^"]*)"'),
-        _parameter(F.col("disposition"), r"(?i)filename=([^\s;\"]+)"),
-        _parameter(F.col("headers"), r'(?im)^content-type:[^\n]*\bname="([^"]*)"'),
-    )
-    return typed.withColumns({"filename": filename, "payload": payload()}).drop(
-        "_part", "_cut", "_raw", "encoding"
-    )
-
-
-def payload() -> Column:
-    """Decoded bytes of a part; a dangling base64 character is ignored."""
-    symbols = F.regexp_replace(F.regexp_extract("_raw", r"^[^=]*", 0), r"[^A-Za-z0-9+/]", "")
-    whole = F.when(
-        F.length(symbols) % 4 == 1, F.left(symbols, F.length(symbols) - F.lit(1))
-    ).otherwise(symbols)
-    plain = F.regexp_replace("_raw", r"\n\z", "")
-    return F.when(F.col("encoding") == "base64", F.unbase64(whole)).otherwise(
-        plain.cast("binary")
-    )
+    inside = mime.message_parts(docs, text).where("part_no > 0")
+    return inside.withColumn("part_no", F.col("part_no") - 1).drop("uncut")
 
 
 def pdf_attachments(
@@ -322,21 +260,4 @@ def pdf_attachments(
 
     The name is prefixed with the mail's own when the mail has a source name.
     """
-    parts = message_parts(docs, key, text).filter(
-        F.startswith("content_type", F.lit("application/"))
-        & has(F.col("content_type"), "pdf")
-        & has(F.col("disposition"), "attachment")
-        & F.col("filename").isNotNull()
-    )
-    name = F.col("filename")
-    if source is not None:
-        mail_stem = names.stem(names.base_name(F.col(source)))
-        prefixed = F.concat(mail_stem, F.lit("_"), names.stem(name), names.tail(name))
-        name = F.coalesce(prefixed, name)
-    return parts.withColumns(
-        {
-            "attachment_name": name,
-            "file_size": F.octet_length("payload").cast("bigint"),
-            "content_md5": F.md5("payload"),
-        }
-    ).drop("headers", "disposition")
+    return mime.pdf_attachments(docs, text, source)
