@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from intakeloom import fixed_values as fv
-from intakeloom.operators import mail, replies
+from intakeloom.operators import ledger, mail, mime, replies
 from intakeloom.plans import oracle_text as o
 from intakeloom.plans.intake import ledger_rows, route_and_extract
 from intakeloom.plans.registry import joined, query, stamp
 from intakeloom.plans.views import view
+from intakeloom.session import shared_folder
 from intakeloom.sources import tables
 
 MAILS = o.source("mails")
@@ -243,6 +244,96 @@ def attachments(spark, folder):
     )
 
 
+LETTERS = o.source("letters")
+# By shape: number, type, whether the file's name is there, payload.
+_TREES = """(VALUES
+  (0, 0, 'application/pdf', true, '<plain>'),
+  (1, 0, 'multipart/mixed', false, NULL), (1, 1, 'text/plain', false, 'Dear desk'), (1, 2, 'application/pdf', true, '<plain>'),
+  (2, 0, 'multipart/mixed', false, NULL), (2, 1, 'multipart/alternative', false, NULL),
+  (2, 2, 'text/plain', false, 'Dear desk'), (2, 3, 'text/html', false, '<p>Dear desk</p>'), (2, 4, 'application/pdf', true, '<plain>'),
+  (3, 0, 'multipart/mixed', false, NULL), (3, 1, 'text/plain', false, 'boundary="y"' || chr(10) || '--y' || chr(10) || 'Dear desk'),
+  (3, 2, 'application/pdf', true, '<plain>'),
+  (4, 0, 'multipart/mixed', false, NULL), (4, 1, 'text/plain', false, 'caf' || chr(233) || ' = 50%'),
+  (4, 2, 'application/pdf', true, '<plain>'),
+  (5, 0, 'multipart/mixed', false, NULL), (5, 1, 'text/plain', false, 'Dear desk'), (5, 2, 'application/pdf', true, '<plain>'),
+  (6, 0, 'multipart/mixed', false, NULL), (6, 1, 'text/plain', false, 'Dear desk'), (6, 2, 'application/pdf', true, '<plain>'),
+  (7, 0, 'multipart/mixed', false, NULL), (7, 1, 'message/rfc822', false, NULL), (7, 2, 'application/pdf', true, '<plain>')
+) t(shape, part_no, content_type, named, payload)"""
+
+
+@query(
+    "e15_part_tree",
+    f"""SELECT doc_id, CAST(part_no AS BIGINT) AS part_no, content_type, CASE WHEN named THEN file END AS filename,
+        md5(CASE payload WHEN '<plain>' THEN plain ELSE payload END) AS payload_md5
+        FROM {LETTERS} JOIN {_TREES} USING (shape)""",
+)
+def part_tree(spark, folder):
+    """Letters of all shapes with every part, the letter itself first."""
+    parts = mime.message_parts(view(spark, folder, "letters").select("doc_id", "text"))
+    return parts.select(
+        "doc_id", "part_no", "content_type", "filename", F.md5("payload").alias("payload_md5")
+    )
+
+
+@query(
+    "e16_attachments_of_all_shapes",
+    f"""SELECT doc_id, thread_id, 'letter-' || CAST(doc_id AS STRING) || '_' || file AS attachment_name,
+        CAST(strlen(plain) AS BIGINT) AS file_size, md5(plain) AS content_md5 FROM {LETTERS}""",
+)
+def attachments_of_all_shapes(spark, folder):
+    docs = view(spark, folder, "letters").select("doc_id", "source", "thread_id", "text")
+    return mime.pdf_attachments(docs).select(
+        "doc_id", "thread_id", "attachment_name", "file_size", "content_md5"
+    )
+
+
+_ENCLOSED = f"""(SELECT l.doc_id, l.thread_id, l.file, l.plain, p.text, p.page_count
+  FROM {LETTERS} l LEFT JOIN {o.source('enclosed')} p ON md5(l.plain) = p.content_md5)"""
+_PAGE_WORDS = o.STATISTICS["total_words"]
+_WITH_ATTACHED = f"""(SELECT doc_id, NULL AS attached_to, source, 'EMAIL' AS format, rule_intent AS intent, thread_id,
+    {o.mail_confidence()} AS confidence_score, 'completed' AS status, 'email' AS processed_by, file_size
+  FROM (SELECT * REPLACE (CAST(doc_id AS STRING) AS doc_id) FROM {o.mail_parsed(o.ruled(LETTERS))})
+  UNION ALL
+  SELECT CAST(p.doc_id AS STRING) || '#1', CAST(p.doc_id AS STRING), 'letter-' || CAST(p.doc_id AS STRING) || '_' || file, 'PDF',
+    m.rule_intent, p.thread_id, {o.page_confidence(_PAGE_WORDS, o.FIELD_COUNT, 'false')}, 'completed', 'pdf_agent',
+    CAST(strlen(plain) AS BIGINT)
+  FROM {o.page_fields(o.typed(_ENCLOSED))} p JOIN (SELECT doc_id, rule_intent FROM {o.ruled(LETTERS)}) m ON m.doc_id = p.doc_id)"""
+
+
+def _with_attachments(spark, folder):
+    return route_and_extract(
+        view(spark, folder, "letters"),
+        keep=["source", "thread_id", "received_at", "file_size"],
+        attachment_pages=view(spark, folder, "enclosed"),
+    )
+
+
+@query(
+    "c19_mails_with_attachments",
+    f"""SELECT doc_id, attached_to, source, lower(format) AS route, intent, thread_id, confidence_score, true AS success,
+        file_size FROM {_WITH_ATTACHED}""",
+)
+def mails_with_attachments(spark, folder):
+    """Results of mails and of what is attached to them, in one pass over the mails."""
+    return _with_attachments(spark, folder).select(
+        "doc_id", "attached_to", "source", "route", "intent", "thread_id",
+        F.round("confidence_score", 6).alias("confidence_score"), "success", "file_size",
+    )
+
+
+@query(
+    "e16_attachment_ledger",
+    f"""SELECT thread_id, source, format, status, processed_by, file_size FROM {_WITH_ATTACHED}""",
+)
+def attachment_ledger(spark, folder):
+    """A mail and its attachment both have a record in a ledger, in one thread."""
+    path = shared_folder(spark, "attachments")
+    at = F.col("received_at").cast("timestamp")
+    ledger.append(ledger_rows(_with_attachments(spark, folder), at), path)
+    records = ledger.latest(ledger.read(spark, path))
+    return records.select("thread_id", "source", "format", "status", "processed_by", "file_size")
+
+
 _SETS = ", ".join(f"{o.sorted_set(sql)} AS {name}" for name, sql in o.ENTITIES.items())
 
 

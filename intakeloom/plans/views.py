@@ -216,6 +216,63 @@ FROM <orders>
 """
 _BASE64 = f"base64(CAST(concat('%PDF ', {_KEY}, ' ', o_orderpriority) AS <binary>))"
 
+_NAME = (
+    f"CASE o_orderkey % 8 WHEN 5 THEN concat('scan ', {_KEY}, chr(233), '.pdf') "
+    f"ELSE concat('scan ', {_KEY}, '.pdf') END"
+)
+_SAYS_NAME = (
+    f"CASE o_orderkey % 8 WHEN 5 THEN concat('filename*=UTF-8', chr(39), chr(39), 'scan%20', {_KEY}, '%C3%A9.pdf') "
+    f"WHEN 6 THEN concat('filename*1=\"', {_KEY}, '.pdf\"; filename*0=\"scan \"') "
+    f"ELSE concat('filename=\"scan ', {_KEY}, '.pdf\"') END"
+)
+_PDF_PART = (
+    "concat('Content-Type: application/pdf', chr(10), 'Content-Transfer-Encoding: base64', chr(10), "
+    f"'Content-Disposition: attachment; ', {_SAYS_NAME}, chr(10), chr(10), <base64>, chr(10))"
+)
+_TEXT_PART = "concat('Content-Type: text/plain', chr(10), chr(10), 'Dear desk', chr(10))"
+_MULTIPART = "concat('Content-Type: multipart/mixed; boundary=\"', b, '\"', chr(10), chr(10))"
+_CUT = "concat('--', b, chr(10))"
+_CLOSED = "concat('--', b, '--', chr(10))"
+
+# Messages of many shapes, each with one attached page document: a single part,
+# a boundary with a blank and network line ends, nested parts, texts around the
+# parts and a boundary only a text declares, quoted-printable, an encoded name,
+# a split name, a forwarded message.
+LETTERS = f"""
+SELECT doc_id, source, thread_id, received_at, shape, plain, file,
+       CASE WHEN shape = 1 THEN replace(body, chr(10), concat(chr(13), chr(10))) ELSE body END AS text,
+       CAST(length(body) AS BIGINT) AS file_size
+FROM (
+  SELECT doc_id, source, thread_id, received_at, shape, plain, file, concat(
+    'From: clerk', thread_id, '@example.com', chr(10), 'Subject: Case ', CAST(doc_id AS STRING), chr(10),
+    CASE shape
+      WHEN 0 THEN pdf
+      WHEN 2 THEN concat({_MULTIPART}, {_CUT}, 'Content-Type: multipart/alternative; boundary=in',
+        chr(10), chr(10), '--in', chr(10), {_TEXT_PART}, '--in', chr(10), 'Content-Type: text/html',
+        chr(10), chr(10), '<p>Dear desk</p>', chr(10), '--in--', chr(10), {_CUT}, pdf, {_CLOSED})
+      WHEN 3 THEN concat({_MULTIPART}, 'Find the invoice attached.', chr(10), {_CUT},
+        'Content-Type: text/plain', chr(10), chr(10), 'boundary="y"', chr(10), '--y', chr(10),
+        'Dear desk', chr(10), {_CUT}, pdf, {_CLOSED}, 'The end.', chr(10))
+      WHEN 4 THEN concat({_MULTIPART}, {_CUT}, 'Content-Type: text/plain; charset=utf-8', chr(10),
+        'Content-Transfer-Encoding: quoted-printable', chr(10), chr(10), 'caf=C3=A9 =3D 5=', chr(10),
+        '0%', chr(10), {_CUT}, pdf, {_CLOSED})
+      WHEN 7 THEN concat({_MULTIPART}, {_CUT}, 'Content-Type: message/rfc822', chr(10), chr(10),
+        'Subject: forwarded, please help, it is urgent', chr(10), pdf, {_CLOSED})
+      ELSE concat({_MULTIPART}, {_CUT}, {_TEXT_PART}, {_CUT}, pdf, {_CLOSED})
+    END) AS body
+  FROM (SELECT o_orderkey AS doc_id, concat('letter-', {_KEY}, '.eml') AS source,
+               CAST(o_custkey AS STRING) AS thread_id, o_orderdate AS received_at,
+               o_orderkey % 8 AS shape, concat('%PDF ', {_KEY}, ' ', o_orderpriority) AS plain,
+               {_NAME} AS file, {_PDF_PART} AS pdf, concat('b c=', {_KEY}) AS b
+        FROM <orders>) made) shaped
+"""
+
+# Page texts of what is attached to letters, known by the hash of its bytes; some are missing.
+ENCLOSED = f"""
+SELECT md5(plain) AS content_md5, p.text AS text, p.page_count AS page_count
+FROM ({LETTERS}) l JOIN ({PAPERS}) p ON l.doc_id = p.doc_id WHERE l.doc_id % 5 <> 0
+"""
+
 # Files with names, sizes and times of change, one per document.
 FILES = """
 SELECT doc_id,
@@ -278,6 +335,8 @@ ALL = {
     "papers": PAPERS,
     "replies": REPLIES,
     "messages": MESSAGES.replace("<base64>", _BASE64),
+    "letters": LETTERS.replace("<base64>", _BASE64),
+    "enclosed": ENCLOSED.replace("<base64>", _BASE64),
     "files": FILES,
     "mixed": MIXED,
     "ledger": LEDGER,
