@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intakeloom import fixed_values as fv
@@ -36,38 +36,36 @@ def check_files(
     expected_type: str | Column | None = None,
     name: str = "source",
     size: str = "file_size",
+    max_mb: float = fv.MAX_FILE_MB,
 ) -> DataFrame:
-    """Add file type, MIME type, the list of errors and ``valid`` (no errors)."""
+    """Add file type, MIME type, the list of errors, ``valid`` (no errors) and ``reason``.
+
+    The reason is the first error's kind, '' for none: ``too_large``, ``empty``,
+    ``extension`` or ``type``.
+    """
     base = names.base_name(F.col(name))
     found = names.file_type(base)
-    tests = [
-        F.when(
-            F.col(size) > fv.MAX_FILE_MB * MB,
-            F.format_string(
-                f"File size (%.1fMB) exceeds limit ({fv.MAX_FILE_MB}MB)", F.col(size) / MB
-            ),
-        ),
-        F.when(F.col(size) == 0, F.lit("File is empty")),
-        F.when(
-            found.isNull(),
-            F.concat(F.lit("File extension '"), names.extension(base), F.lit("' not allowed")),
-        ),
-    ]
+    exceeds = F.format_string(f"File size (%.1fMB) exceeds limit ({max_mb:g}MB)", F.col(size) / MB)
+    refused = F.concat(F.lit("File extension '"), names.extension(base), F.lit("' not allowed"))
+    tests = {
+        "too_large": (F.col(size) > max_mb * MB, exceeds),
+        "empty": (F.col(size) == 0, F.lit("File is empty")),
+        "extension": (found.isNull(), refused),
+    }
     if expected_type is not None:
         wanted = F.lit(expected_type) if isinstance(expected_type, str) else expected_type
-        tests.append(
-            F.when(
-                found != wanted,
-                F.concat(F.lit("Expected "), wanted, F.lit(" file, but detected "), found),
-            )
-        )
+        other = F.concat(F.lit("Expected "), wanted, F.lit(" file, but detected "), found)
+        tests["type"] = (found != wanted, other)
+    kinds = [F.when(test, F.lit(kind)) for kind, (test, _) in tests.items()]
+    messages = [F.when(test, message) for test, message in tests.values()]
     return files.withColumns(
         {
             "file_type": found,
             "mime_type": names.mime_type(base),
-            "errors": F.array_compact(F.array(*tests)),
+            "errors": F.array_compact(F.array(*messages)),
+            "reason": F.coalesce(*kinds, F.lit("")),
         }
-    ).withColumn("valid", F.size("errors") == 0)
+    ).withColumn("valid", F.col("reason") == "")
 
 
 def admitted(checked: DataFrame) -> DataFrame:
@@ -78,6 +76,25 @@ def quarantined(checked: DataFrame) -> DataFrame:
     return checked.filter("NOT valid")
 
 
+def quarantine(checked: DataFrame, path: str, batch: str) -> None:
+    """Write what is known of refused files, one folder for each reason.
+
+    The tests read names and sizes alone, so no content is read for it.  A batch
+    of the same name is replaced.
+    """
+    known = quarantined(checked).select("doc_id", "source", "file_size", "file_type", "mime_type", "errors", "reason")
+    known.write.mode("overwrite").partitionBy("reason").parquet(f"{path}/batch={batch}")
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """All refused files with the reason and the batch they came in."""
+    schema = (
+        "doc_id string, source string, file_size bigint, file_type string, mime_type string, "
+        "errors array<string>, batch string, reason string"
+    )
+    return spark.read.schema(schema).parquet(path)
+
+
 def expired(
     files: DataFrame, now: Column, hours: float = fv.RETENTION_HOURS, modified: str = "modified"
 ) -> DataFrame:

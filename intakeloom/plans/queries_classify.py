@@ -328,25 +328,30 @@ def rerouted(spark, folder):
     )
 
 
-_ROUTED = f"""(SELECT *, CASE WHEN coalesce(length(text), 0) = 0 THEN NULL WHEN fmt = 'TEXT' THEN 'email'
-    ELSE lower(fmt) END AS route FROM {DETECTED})"""
-_MAIL_SIDE = f"(SELECT * FROM {o.mail_parsed(f'(SELECT * FROM {_ROUTED} WHERE route = $$email$$)')})"
-_JSON_SIDE = f"""(SELECT *, {o.json_errors()} AS errors FROM
-    {o.json_parsed(f'(SELECT * FROM {_ROUTED} WHERE route = $$json$$)')})"""
-_PAGE_SIDE = o.page_fields(o.typed(f"(SELECT * EXCLUDE (low) FROM {_ROUTED} WHERE route = 'pdf')"))
-INTAKE = f"""(
-  SELECT doc_id, lower(fmt) AS format, route, rule_intent AS intent,
-    length({o.trim('text')}) >= 10 AS success,
-    CASE WHEN length({o.trim('text')}) >= 10 THEN {o.mail_confidence()} ELSE 0 END AS confidence_score
-  FROM {_MAIL_SIDE}
-  UNION ALL
-  SELECT doc_id, lower(fmt), route, rule_intent, j IS NOT NULL, {o.JSON_CONFIDENCE} FROM {_JSON_SIDE}
-  UNION ALL
-  SELECT doc_id, lower(fmt), route, rule_intent, true,
-    {o.page_confidence(o.STATISTICS['total_words'], o.FIELD_COUNT, 'false')} FROM {_PAGE_SIDE}
-  UNION ALL
-  SELECT doc_id, 'unknown', NULL, 'unknown', false, 0.0 FROM {_ROUTED} WHERE route IS NULL
-)"""
+def intake_sql(detected: str) -> str:
+    """Outcomes of the whole intake of ``detected`` documents."""
+    routed = f"""(SELECT *, CASE WHEN coalesce(length(text), 0) = 0 THEN NULL WHEN fmt = 'TEXT' THEN 'email'
+        ELSE lower(fmt) END AS route FROM {detected})"""
+    mails = f"(SELECT * FROM {o.mail_parsed(f'(SELECT * FROM {routed} WHERE route = $$email$$)')})"
+    jsons = f"""(SELECT *, {o.json_errors()} AS errors FROM
+        {o.json_parsed(f'(SELECT * FROM {routed} WHERE route = $$json$$)')})"""
+    paged = o.page_fields(o.typed(f"(SELECT * EXCLUDE (low) FROM {routed} WHERE route = 'pdf')"))
+    return f"""(
+      SELECT doc_id, lower(fmt) AS format, route, rule_intent AS intent,
+        length({o.trim('text')}) >= 10 AS success,
+        CASE WHEN length({o.trim('text')}) >= 10 THEN {o.mail_confidence()} ELSE 0 END AS confidence_score
+      FROM {mails}
+      UNION ALL
+      SELECT doc_id, lower(fmt), route, rule_intent, j IS NOT NULL, {o.JSON_CONFIDENCE} FROM {jsons}
+      UNION ALL
+      SELECT doc_id, lower(fmt), route, rule_intent, true,
+        {o.page_confidence(o.STATISTICS['total_words'], o.FIELD_COUNT, 'false')} FROM {paged}
+      UNION ALL
+      SELECT doc_id, 'unknown', NULL, 'unknown', false, 0.0 FROM {routed} WHERE route IS NULL
+    )"""
+
+
+INTAKE = intake_sql(DETECTED)
 
 
 def _intake(spark, folder):

@@ -10,6 +10,8 @@ from intakeloom.functions import names
 from intakeloom.functions.text import decode, decode_lossy, text_encoding
 from intakeloom.operators import admission, json_docs, ledger
 from intakeloom.plans import oracle_text as o
+from intakeloom.plans.intake import intake_of_files
+from intakeloom.plans.queries_classify import intake_sql
 from intakeloom.plans.registry import joined, query, stamp
 from intakeloom.plans.views import view
 from intakeloom.session import configure, shared_folder
@@ -23,11 +25,81 @@ _STEM = "regexp_replace(source, '\\.[^./]*$', '')"
 _TAIL = "regexp_extract(source, '\\.[^./]*$')"
 
 
-@query("s01_file_scan")
+UPLOADS = o.source("uploads")
+# Latin-1 where it can hold the text and ASCII cannot, else UTF-8.
+_LATIN = r"(regexp_matches(text, '[^\x{00}-\x{7F}]') AND NOT regexp_matches(text, '[^\x{00}-\x{FF}]'))"
+_SIZED = f"(SELECT *, {_LATIN} AS latin, CAST(CASE WHEN {_LATIN} THEN length(text) ELSE strlen(text) END AS BIGINT) AS file_size FROM {UPLOADS})"
+_PAGED = "regexp_matches(source, '[.]pdf$')"
+
+
+def _uploaded(spark, folder) -> str:
+    """The uploads written as files, some in Latin-1; the folder they are in."""
+    text = F.col("text")
+    latin = F.rlike(text, F.lit(r"[^\x00-\x7f]")) & ~F.rlike(text, F.lit(r"[^\x00-\xff]"))
+    content = F.when(latin, F.encode(text, "ISO-8859-1")).otherwise(text.cast("binary"))
+    path = shared_folder(configure(spark), "uploads")
+    files.write_files(view(spark, folder, "uploads").withColumn("content", content), path)
+    return path
+
+
+@query(
+    "s01_file_scan",
+    f"""SELECT source, {o.extension('source')} AS ext, CASE WHEN {_PAGED} THEN 'binary' ELSE 'text' END AS content_type,
+        file_size, CASE WHEN NOT {_PAGED} THEN CASE WHEN latin THEN 'latin-1' ELSE 'utf-8' END END AS encoding,
+        CASE WHEN NOT {_PAGED} THEN md5(text) END AS text_md5 FROM {_SIZED}""",
+)
 def file_scan(spark, folder):
-    """Metadata of the data files themselves; contents are not read."""
-    found = files.scan(configure(spark), folder, "*.parquet")
-    return found.select("source", "ext", "content_type", "file_size")
+    """Files written from the documents, scanned as bytes; texts are decoded."""
+    found = files.with_text(files.scan(configure(spark), _uploaded(spark, folder), with_empty=True))
+    return found.select(
+        "source", "ext", "content_type", "file_size", "encoding", F.md5("text").alias("text_md5")
+    )
+
+
+# Small enough for some of the given documents to exceed it.
+_MOST_MB = 0.01
+_REASON = f"""CASE WHEN file_size > {_MOST_MB} * 1048576 THEN 'too_large' WHEN file_size = 0 THEN 'empty'
+    WHEN {o.case_map(o.extension('source'), fv.FILE_TYPE_BY_EXTENSION)} IS NULL THEN 'extension'
+    WHEN regexp_matches(source, '7[.]json$') THEN 'type' ELSE '' END"""
+_ADMITTED = o.detected(f"(SELECT doc_id, source, text, CAST(NULL AS STRING) AS known FROM {_SIZED} WHERE {_REASON} = '')")
+
+
+def _files_taken_in(spark, folder, quarantine: str):
+    found = files.scan(configure(spark), _uploaded(spark, folder), with_empty=True)
+    paged = view(spark, folder, "uploads").where("source LIKE '%.pdf' AND text <> ''").select(
+        F.col("text").cast("binary").alias("utf8"), "text"
+    )
+    latin = F.rlike("text", F.lit(r"[^\x00-\x7f]")) & ~F.rlike("text", F.lit(r"[^\x00-\xff]"))
+    content = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.col("utf8"))
+    paged = paged.select(F.md5(content).alias("content_md5"), "text")
+    # a list of a kind of its own is expected to be a table of pages
+    wanted = F.when(F.rlike("source", F.lit("7[.]json$")), "pdf")
+    return intake_of_files(found, quarantine, "uploads", paged, wanted, max_mb=_MOST_MB)
+
+
+@query(
+    "s04_admitted_intake",
+    f"""SELECT u.source, i.format, i.route, i.intent, i.success, round(i.confidence_score, 6) AS confidence_score
+        FROM {intake_sql(_ADMITTED)} i JOIN {UPLOADS} u ON u.doc_id = i.doc_id""",
+)
+def admitted_intake(spark, folder):
+    """Files from the scan over admission to the outcome of the whole intake."""
+    results = _files_taken_in(spark, folder, shared_folder(configure(spark), "quarantine"))
+    return results.select(
+        "source", "format", "route", "intent", "success", F.round("confidence_score", 6).alias("confidence_score")
+    )
+
+
+@query(
+    "s04_quarantine",
+    f"SELECT reason, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes FROM (SELECT {_REASON} AS reason, file_size FROM {_SIZED}) WHERE reason <> '' GROUP BY reason",
+)
+def quarantined_files(spark, folder):
+    """Files refused on the way in, read back from the quarantine by reason."""
+    path = shared_folder(configure(spark), "quarantine")
+    _files_taken_in(spark, folder, path)
+    kept = admission.read_quarantine(spark, path)
+    return kept.groupBy("reason").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
 
 
 def _encoded(spark, folder) -> DataFrame:

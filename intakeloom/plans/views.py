@@ -287,6 +287,18 @@ SELECT doc_id,
 FROM <documents>
 """
 
+# Files as they are uploaded: names and contents of every admitted and refused kind.
+UPLOADS = """
+SELECT doc_id,
+       concat('upload_', CAST(doc_id AS STRING), CASE lang WHEN 'de' THEN '.pdf' WHEN 'fr' THEN '.json'
+              WHEN 'es' THEN CASE WHEN doc_id % 2 = 0 THEN '.docx' ELSE '' END
+              ELSE CASE doc_id % 3 WHEN 0 THEN '.eml' WHEN 1 THEN '.txt' ELSE '.TXT' END END) AS source,
+       CASE WHEN doc_id % 13 = 0 THEN ''
+            WHEN lang = 'fr' AND doc_id % 2 = 0 THEN concat('{"id":"', CAST(doc_id AS STRING), '","name":"n","price":5}')
+            ELSE text END AS text
+FROM <documents> WHERE doc_id IS NOT NULL AND text IS NOT NULL
+"""
+
 # Texts of every kind in one table, some with a name or a stated format.
 MIXED = f"""
 SELECT concat('mail-', CAST(doc_id AS STRING)) AS doc_id, source,
@@ -338,6 +350,7 @@ ALL = {
     "letters": LETTERS.replace("<base64>", _BASE64),
     "enclosed": ENCLOSED.replace("<base64>", _BASE64),
     "files": FILES,
+    "uploads": UPLOADS,
     "mixed": MIXED,
     "ledger": LEDGER,
 }

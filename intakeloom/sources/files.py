@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +15,55 @@ from intakeloom.functions.text import decode, text_encoding
 BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files as rows; content is read only by queries that use it."""
+def scan(spark: SparkSession, path: str, glob: str = "*", with_empty: bool = False) -> DataFrame:
+    """Files as rows; content is read only by queries that use it.
+
+    Spark's file sources leave out files without a byte.  ``with_empty`` adds
+    them from a listing of names and sizes, so that they can be refused.
+    """
     files = (
-        spark.read.format("binaryFile")
+        spark.read.schema(BINARY_FILE_SCHEMA)
+        .format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
     )
+    if with_empty:
+        files = files.unionByName(_empty_files(spark, path, glob))
     return described(files)
 
 
+def _target(path: str) -> str:
+    """The path as a URI that other readers than Spark's understand."""
+    return re.sub("^file:/+", "/", path)
+
+
+def _empty_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Files without a byte; a task lists the folder and passes on only these."""
+    target = _target(path)
+
+    def run(batches: Iterator) -> Iterator:
+        from fnmatch import fnmatchcase
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        schema = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary())])
+        for _ in batches:
+            system, root = fs.FileSystem.from_uri(target)
+            listed = system.get_file_info(fs.FileSelector(root, recursive=True))
+            found = [
+                (target.replace(root, "", 1) + x.path if "://" in target else f"file:{x.path}", x.mtime, 0, b"")
+                for x in listed
+                # as in Spark's listing, names that begin so are no data
+                if x.is_file and not x.size and x.base_name[0] not in "._" and fnmatchcase(x.base_name, glob)
+            ]
+            columns = zip(*found) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, BINARY_FILE_SCHEMA)
+
+
 def scan_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """The same scan over files as they arrive."""
     files = (
@@ -74,3 +115,33 @@ def lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         .text(path)
         .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     )
+
+
+def write_files(docs: DataFrame, path: str, name: str = "source", content: str = "content") -> int:
+    """Write each row as a file of its own, named by the row; returns the number of files.
+
+    Spark's writers give files their own names, so tasks write these through the
+    file system of ``path``, which all executors must share.  A file appears
+    whole under its name, also where a task runs twice; rows of one name leave
+    one file.
+    """
+    target = _target(path)
+
+    def run(batches: Iterator) -> Iterator:
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(target)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for file, data in zip(batch.column(0), batch.column(1), strict=True):
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(data.as_buffer())
+                system.move(part, f"{root}/{file.as_py()}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["files"])
+
+    rows = docs.select(F.col(name).alias("name"), F.coalesce(content, F.lit(b"")).alias("content"))
+    return rows.mapInArrow(run, "files bigint").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
