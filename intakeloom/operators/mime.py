@@ -171,10 +171,11 @@ def with_part_tree(docs: DataFrame, text: Column, name: str = "parts", levels: i
     lines = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     parts = F.when(lines.isNotNull(), _parsed(F.array(lines), F.lit("text/plain"))).otherwise(F.array().cast(_PARTS))
     docs = computed_once(docs, "_tree", parts)
+    more = F.exists("_above", lambda part: part["open"])
+    cut = F.when(more, F.flatten(F.transform("_above", _cut))).otherwise(F.col("_above"))
     for _ in range(levels):
         # a step of its own for each level keeps the expressions small
-        docs = docs.withColumnRenamed("_tree", "_above")
-        docs = computed_once(docs, "_tree", F.flatten(F.transform("_above", _cut))).drop("_above")
+        docs = computed_once(docs.withColumnRenamed("_tree", "_above"), "_tree", cut).drop("_above")
     return docs.withColumnRenamed("_tree", name)
 
 
