@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from intakeloom.functions.stages import computed_once
 from intakeloom.functions.text import let, strip
 
+# Characters of the longest string the parser reads.
+LONGEST_STRING = 20_000_000
+
 # Closes the frame a text is parsed in; no document ends in it.
 _END = "\u241eend"
 
@@ -45,8 +48,16 @@ def with_parsed(rows: DataFrame, name: str, text: Column) -> DataFrame:
     )
 
 
+def beyond_parser(text: Column) -> Column:
+    """A text in the brackets of an object or a list, long enough to hold a string the parser refuses."""
+    return F.coalesce(
+        (F.length(text) > LONGEST_STRING) & F.rlike(text, F.lit(r"(?s)\A\s*(?:\{.*\}|\[.*\])\s*\z")), F.lit(False)
+    )
+
+
 def is_json(text: Column) -> Column:
-    return F.coalesce(parse(text).isNotNull(), F.lit(False))
+    """The text is one JSON value, or looks like one that is too long to be read."""
+    return F.coalesce(parse(text).isNotNull(), F.lit(False)) | beyond_parser(text)
 
 
 def fields(value: Column) -> Column:
@@ -63,11 +74,14 @@ def at(value: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(value, f"$.{path}", kind)
 
 
+def kept(value: Column, path: str) -> Column:
+    """What stands at a path, as it is; null when the key is absent, a JSON null when that stands there."""
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
 def is_present(value: Column, path: str) -> Column:
     """The key exists, even when its value is JSON null."""
-    parent, _, key = path.rpartition(".")
-    holder = fields(F.try_variant_get(value, f"$.{parent}", "variant") if parent else value)
-    return F.coalesce(F.map_contains_key(holder, F.lit(key)), F.lit(False))
+    return kept(value, path).isNotNull()
 
 
 def has_type(value: Column, path: str, kind: str) -> Column:

@@ -70,7 +70,7 @@ def with_format(
     open_text = F.when(F.col("_stated").isNull(), F.col(text))
     read = jsontext.with_parsed(undecided, "_value", open_text)
     by_marks = F.when(is_mail(F.col(lower_text)), "EMAIL").otherwise("TEXT")
-    fmt = F.coalesce("_stated", F.when(F.col("_value").isNotNull(), "JSON").otherwise(by_marks))
+    fmt = F.coalesce("_stated", F.when(F.col("_value").isNotNull() | jsontext.beyond_parser(F.col(text)), "JSON").otherwise(by_marks))
     return computed_once(read, to, fmt).drop("_stated", "_value")
 
 

@@ -12,6 +12,7 @@ from intakeloom import fixed_values as fv
 from intakeloom.functions import jsontext
 
 INVALID_JSON = "Invalid JSON format"
+JSON_TOO_LONG = "JSON text holds a string too long to be read"
 
 
 def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -31,6 +32,27 @@ def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
     return unwrapped.withColumn("inner", F.coalesce("nested", "value"))
 
 
+_ITEM = ("item_id", "description", "quantity", "unit_price", "total_price")
+# Where the fields of each schema stand.
+_PATHS = {
+    "invoice": {
+        "invoice_number": "header.invoice_number",
+        "invoice_date": "header.invoice_date",
+        "due_date": "header.due_date",
+        "amount": "summary.total_amount",
+        "vendor_company_name": "vendor.company_name",
+        "vendor_phone": "vendor.contact.phone",
+        "vendor_email": "vendor.contact.email",
+        "customer_company_name": "customer.company_name",
+        "customer_contact_person": "customer.contact_person",
+        "customer_phone": "customer.contact.phone",
+        "customer_email": "customer.contact.email",
+    },
+    "order": {name: name for name in ("order_id", "customer", "items", "total", "status")},
+    "product": {name: name for name in ("id", "name", "price", "category", "description")},
+}
+
+
 def _matching_schema(keys: Column) -> Column:
     result = None
     for schema, required in fv.JSON_REQUIRED.items():
@@ -134,6 +156,32 @@ def product_fields(inner: Column) -> Column:
     )
 
 
+def faithful_fields(schema: Column, inner: Column) -> Column:
+    """The projection of the detected schema as JSON text; every value keeps its type and digits.
+
+    An absent key and a JSON null both give null, as does what lies in a value
+    that is no object.
+    """
+
+    def item(value: Column) -> Column:
+        return F.struct(*[jsontext.kept(value, name).alias(name) for name in _ITEM])
+
+    listed = F.coalesce(
+        F.try_variant_get(inner, "$.line_items", "array<variant>"), F.array().cast("array<variant>")
+    )
+    options = {"ignoreNullFields": "false"}
+    found = {
+        name: F.to_json(F.struct(*[jsontext.kept(inner, path).alias(field) for field, path in paths.items()]), options)
+        for name, paths in _PATHS.items()
+    }
+    invoice = [jsontext.kept(inner, path).alias(field) for field, path in _PATHS["invoice"].items()]
+    found["invoice"] = F.to_json(F.struct(*invoice, F.transform(listed, item).alias("line_items")), options)
+    result = F.lit("{}")
+    for name, text in found.items():
+        result = F.when(schema == name, text).otherwise(result)
+    return result
+
+
 def exploded_line_items(invoices: DataFrame, key: str = "doc_id") -> DataFrame:
     """Relational form of the line items; an invoice without any keeps one row."""
     return invoices.select(key, F.posexplode_outer("invoice.line_items").alias("item_no", "item")).select(
@@ -160,11 +208,14 @@ def confidence(valid: Column, anomalies: Column) -> Column:
 def extract_json(docs: DataFrame, text: str = "text") -> DataFrame:
     """The full extraction row of each JSON document, or an error row.
 
-    ``invoice``, ``order`` and ``product`` hold the projection of the detected
-    schema, ``extracted_fields`` the same as JSON text.
+    ``extracted_fields`` holds the projection of the detected schema as JSON
+    text, each value as it stands in the document.  ``invoice``, ``order`` and
+    ``product`` hold the same as typed columns: texts, and numbers as doubles
+    (also those a document writes as texts).
     """
     inner = F.col("inner")
-    read = parsed(docs, text).drop(text)
+    marked = docs.withColumn("_too_long", jsontext.beyond_parser(F.col(text)))
+    read = parsed(marked, text).drop(text)
     success = F.col("value").isNotNull()
     detected = read.withColumn("detected_schema", F.when(success, schema_type()))
     schema = F.col("detected_schema")
@@ -188,7 +239,6 @@ def extract_json(docs: DataFrame, text: str = "text") -> DataFrame:
             ),
         }
     )
-    options = {"ignoreNullFields": "false"}
     return scored.withColumns(
         {
             "recommendations": F.when(
@@ -197,12 +247,7 @@ def extract_json(docs: DataFrame, text: str = "text") -> DataFrame:
             "confidence_score": F.when(
                 success, confidence(F.col("valid"), F.col("anomalies"))
             ).otherwise(F.lit(0.0)),
-            "extracted_fields": F.coalesce(
-                F.to_json("invoice", options),
-                F.to_json("order", options),
-                F.to_json("product", options),
-                F.lit("{}"),
-            ),
-            "error": F.when(~success, F.lit(INVALID_JSON)),
+            "extracted_fields": faithful_fields(schema, inner),
+            "error": F.when(~success, F.when(F.col("_too_long"), JSON_TOO_LONG).otherwise(INVALID_JSON)),
         }
-    ).drop("value", "entries", "nested", "inner")
+    ).drop("value", "entries", "nested", "inner", "_too_long")

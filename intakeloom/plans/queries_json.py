@@ -189,6 +189,37 @@ def json_records(spark, folder):
     )
 
 
+_TYPED = o.json_parsed(o.source("typed"))
+_FIELD_PATHS = {
+    "invoice": {**{n: p for n, p in _TEXTS.items()}, "amount": "summary.total_amount"},
+    "order": {n: n for n in ("order_id", "customer", "items", "total", "status")},
+    "product": {n: n for n in ("id", "name", "price", "category", "description")},
+}
+_FIELD_ROWS = " UNION ALL ".join(
+    f"SELECT doc_id, '{name}' AS field, CAST(json_extract(inner_j, '$.{path}') AS VARCHAR) AS value FROM {_TYPED} WHERE schema = '{schema}'"
+    for schema, paths in _FIELD_PATHS.items()
+    for name, path in paths.items()
+)
+
+
+@query(
+    "j12_value_types",
+    f"""SELECT doc_id, field, CASE WHEN value IS NULL THEN 'null' ELSE value END AS value FROM ({_FIELD_ROWS})
+        UNION ALL
+        SELECT doc_id, 'line_items', '[' || array_to_string(list_transform(CAST(json_extract(inner_j, '$.line_items') AS JSON[]),
+          lambda i: '{{' || array_to_string(list_transform(['description', 'item_id', 'quantity', 'total_price', 'unit_price'],
+            lambda k: '"' || k || '":' || coalesce(CAST(json_extract(i, '$.' || k) AS VARCHAR), 'null')), ',') || '}}'), ',') || ']'
+        FROM {_TYPED} WHERE schema = 'invoice'""",
+)
+def value_types(spark, folder):
+    """Every extracted field as JSON text: numbers, texts, objects, lists and nulls stay what they are."""
+    read = json_docs.extract_json(view(spark, folder, "typed"))
+    fields = F.try_variant_get(F.try_parse_json("extracted_fields"), "$", "map<string,variant>")
+    return read.select("doc_id", F.explode(fields).alias("field", "value")).select(
+        "doc_id", "field", F.to_json("value").alias("value")
+    )
+
+
 @query(
     "j12_json_ledger",
     f"""SELECT intent, status, count(*) AS records, sum(confidence_score) AS confidence FROM (

@@ -125,6 +125,21 @@ JOIN <customer> ON o_custkey = c_custkey
 JOIN <supplier> ON l_suppkey = s_suppkey
 """
 
+# JSON documents whose values have other types than usual.
+TYPED = f"""
+SELECT o_orderkey AS doc_id,
+       CASE o_orderkey % 4
+         WHEN 0 THEN concat('{{"order_id":', CAST(9007199254740993 + o_orderkey AS STRING),
+           ',"customer":{{"name":"', o_orderstatus, '","tags":[1,2.25,null,true,"x"]}},"items":[{{"a":[]}},7],"total":"12.50","status":null}}')
+         WHEN 1 THEN concat('{{"id":', {_KEY}, ',"name":["n",{{"k":"v"}}],"price":3,"category":false}}')
+         WHEN 2 THEN concat('{{"id":"', {_KEY}, '","name":"\u00e9 ', chr(92), '"q', chr(92), '"","price":', {_KEY}, '.125,"category":{{}},"description":0}}')
+         ELSE concat('{{"invoice":{{"header":{{"invoice_number":', {_KEY}, ',"invoice_date":true}},"vendor":"none",',
+           '"customer":{{"company_name":{{"de":"x"}},"contact":null}},"line_items":[{{"item_id":5,"quantity":"2","unit_price":1.5}},{{}}],',
+           '"summary":{{"total_amount":', {_KEY}, '}}}}}}')
+       END AS text
+FROM <orders>
+"""
+
 # Texts of scanned pages: invoice, complaint, rfq, report, contract, plain, none.
 PAPERS = f"""
 SELECT o_orderkey AS doc_id,
@@ -344,6 +359,7 @@ FROM <events>
 ALL = {
     "mails": MAILS,
     "jsons": JSONS,
+    "typed": TYPED,
     "papers": PAPERS,
     "replies": REPLIES,
     "messages": MESSAGES.replace("<base64>", _BASE64),

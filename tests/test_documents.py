@@ -270,3 +270,28 @@ def test_intake_reads_every_route(spark):
     records = ledger_rows(results, F.lit("2024-01-01").cast("timestamp")).collect()
     # unreadable JSON is reported but not recorded
     assert sorted(r.format for r in records) == ["EMAIL", "ERROR", "ERROR", "JSON", "PDF"]
+
+
+def test_json_values_keep_their_types(spark):
+    texts = {
+        1: '{"order_id": 9007199254740993, "customer": {"b": [1, 2.5], "a": null}, "items": [], "total": "12.50", "status": null}',
+        2: '{"id": "7", "name": true, "price": 3, "category": {}}',
+        3: '{"header": {"invoice_number": 77}, "vendor": null, "line_items": [{"quantity": "2"}, 5], "summary": {"total_amount": 1e3}}',
+    }
+    frame = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r.doc_id: json.loads(r.extracted_fields) for r in json_docs.extract_json(frame).collect()}
+    assert got[1] == json.loads(texts[1])
+    assert got[2] == {**json.loads(texts[2]), "description": None}
+    assert (got[3]["invoice_number"], got[3]["amount"], got[3]["vendor_phone"]) == (77, 1000, None)
+    assert got[3]["line_items"][0]["quantity"] == "2" and got[3]["line_items"][1]["quantity"] is None
+
+
+def test_json_too_long_to_read(spark):
+    """A string beyond the parser's limit ends as a JSON error, not as a mail."""
+    frame = spark.range(1).select(
+        F.lit("x.txt").alias("source"), F.concat(F.lit('{"a":"'), F.repeat(F.lit("b"), 20_000_100), F.lit('"}')).alias("text"), F.lit(1).alias("doc_id")
+    )
+    row = only(json_docs.extract_json(frame))
+    assert (row.success, row.error, row.extracted_fields) == (False, json_docs.JSON_TOO_LONG, "{}")
+    row = only(classify.classify(frame, keep=["source"]))
+    assert (row.format, row.target_agent) == ("json", "json_agent")
