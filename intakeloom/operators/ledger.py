@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from intakeloom import fixed_values as fv
 from intakeloom.functions import jsontext
 from intakeloom.functions.text import decode_char_codes
+from intakeloom.session import shared_folder
 
 SCHEMA = T.StructType(
     [
@@ -254,23 +255,30 @@ def all_threads(records: DataFrame) -> DataFrame:
 def with_positions(records: DataFrame) -> DataFrame:
     """Each record with its ``position`` in its thread, from 1, oldest first.
 
-    Records are numbered within a day of a thread, and the days' totals, a narrow
-    table, give what comes before: a thread of any length spreads over its days.
+    One range sort over thread, time and id deals records to tasks, so a thread
+    of any length, and a single busy moment of it, spreads over many; a record's
+    position is its place in its range plus the thread's records in the ranges
+    before.  The sorted records are written to the shared folder, so that both
+    sides see the same ranges.
     """
-    day = F.to_date("timestamp").alias("_day")
-    dated = records.select("*", day)
-    within = Window.partitionBy("thread_id", "_day").orderBy("timestamp", "id")
-    numbered = dated.withColumn("_nth", F.row_number().over(within))
-    days = dated.groupBy("thread_id", "_day").agg(F.count("*").alias("_rows"))
-    earlier = Window.partitionBy("thread_id").orderBy("_day")
-    before = days.select(
-        F.col("thread_id").alias("_thread"),
-        F.col("_day").alias("_of"),
-        (F.sum("_rows").over(earlier) - F.col("_rows")).alias("_before"),
+    spark = records.sparkSession
+    order = ["thread_id", "timestamp", "id"]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = records.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    dealt = dealt.withColumn("_number", F.monotonically_increasing_id())
+    path = shared_folder(spark, "positions")
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    piece = F.shiftright("_number", 33)
+    pieces = dealt.groupBy(F.col("thread_id").alias("_thread"), piece.alias("_piece")).agg(
+        F.min("_number").alias("_first"), F.count("*").alias("_rows")
     )
-    return numbered.join(
-        before, F.col("thread_id").eqNullSafe(F.col("_thread")) & (F.col("_day") == F.col("_of"))
-    ).select(*[F.col(c) for c in records.columns], (F.col("_before") + F.col("_nth")).alias("position"))
+    before = Window.partitionBy("_thread").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1
+    shifts = pieces.select("_thread", "_piece", shift.alias("_shift"))
+    met = F.col("thread_id").eqNullSafe(F.col("_thread")) & (piece == F.col("_piece"))
+    position = (F.col("_number") + F.col("_shift")).alias("position")
+    return dealt.join(shifts, met).select(*records.columns, position)
 
 
 def recent(records: DataFrame, limit: int = fv.RECENT_LIMIT) -> DataFrame:

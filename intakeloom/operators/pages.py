@@ -32,6 +32,7 @@ from intakeloom.operators.replies import one_reply_each, with_page_reply
 PHONE_START = r"+(\d"
 # Pages that are put together in the first of two steps; no bearing on results.
 PAGES_PER_BLOCK = 256
+TOO_LARGE = "Page text too large"
 # Bytes a string column can hold.
 LARGEST_TEXT = 2**31 - 2**20
 
@@ -415,12 +416,29 @@ def extract_pages(
     """The full extraction row of each assembled page text.
 
     Facts are computed first and the text is dropped, so the join with the
-    replies moves only what was found.
+    replies moves only what was found.  Documents that :func:`assemble` marked
+    ``too_large`` end as errors, whatever a reply says.
     """
     facts = page_facts(docs, text)
     pages = F.col(page_count) if page_count else F.lit(0)
     tables = F.col(has_tables) if has_tables else F.lit(False)
     if replies is None:
-        return with_reply(facts, F.lit(None).cast("string"), pages, tables)
+        return _sized(with_reply(facts, F.lit(None).cast("string"), pages, tables))
     joined = facts.join(one_reply_each(replies, key), key, "left")
-    return with_reply(joined, F.col("response"), pages, tables).drop("response")
+    return _sized(with_reply(joined, F.col("response"), pages, tables).drop("response"))
+
+
+def _sized(results: DataFrame) -> DataFrame:
+    """Error rows for documents whose text was too large to be put together."""
+    if "too_large" not in results.columns:
+        return results
+    large = F.coalesce("too_large", F.lit(False))
+    return results.withColumns(
+        {
+            "success": ~large,
+            "confidence_score": F.when(large, 0.0).otherwise(F.col("confidence_score")),
+            "extracted_fields": F.when(large, "{}").otherwise(F.col("extracted_fields")),
+            "recommendations": F.when(~large, F.col("recommendations")),
+            "error": F.when(large, TOO_LARGE).otherwise(F.col("error")),
+        }
+    )

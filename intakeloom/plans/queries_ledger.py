@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from intakeloom.functions import jsontext
 from intakeloom.functions.text import sanitize
-from intakeloom.operators import ledger, prompts, quality
+from intakeloom.operators import ledger, prompts, quality, search_index
 from intakeloom.plans import oracle_text as o
 from intakeloom.plans.registry import joined, query, stamp
 from intakeloom.plans.views import view
@@ -277,6 +277,39 @@ _search("l15_search", "USER12@", "%USER12@%")
 _search("l15_search_wildcard", "k%: _7}", "%k%: _7}%")
 
 
+def _indexed(spark, folder) -> str:
+    """The records as a ledger of two batches with its index; some records are changed by the second."""
+    path = shared_folder(configure(spark), "indexed")
+    records = _records(spark, folder)
+    ledger.append(records, f"{path}/ledger", "first")
+    search_index.add(records, f"{path}/index", "first")
+    # the second version says what the first did, so the given records stay the measure
+    change = records.where("CAST(id AS BIGINT) % 50 = 0").select("id", "source")
+    at = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    update = ledger.update(ledger.read(spark, f"{path}/ledger"), change, at)
+    ledger.append(update, f"{path}/ledger", "second")
+    written = ledger.read(spark, f"{path}/ledger").where("version > 1")
+    search_index.add(written, f"{path}/index", "second")
+    return path
+
+
+def _search_by_index(name: str, wanted: str, pattern: str):
+    hits = " OR ".join(
+        f"{c} ILIKE {o.lit(pattern)}" for c in ("source", "intent", "extracted_fields", "sender")
+    )
+
+    @query(name, f"SELECT {_SQL_COLUMNS} FROM {LEDGER} l WHERE {hits} {_NEWEST} LIMIT 20")
+    def run(spark, folder):
+        """The same rows as by the scan, from a ledger with an index of triples."""
+        path = _indexed(spark, folder)
+        index = search_index.read(spark, f"{path}/index")
+        return _shown(search_index.search(ledger.read(spark, f"{path}/ledger"), index, wanted))
+
+
+_search_by_index("l15_indexed_search", "USER12@", "%USER12@%")
+_search_by_index("l15_indexed_search_wildcard", "er7%EXAMPLE_com", "%er7%EXAMPLE_com%")
+
+
 @query(
     "l16_codec",
     f"""SELECT id, TRY_CAST(extracted_fields->>'$.k' AS BIGINT) AS k, 'normal' AS urgency,

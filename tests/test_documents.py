@@ -185,6 +185,9 @@ def test_pages_in_order(spark):
     large = {r.doc_id: r for r in pages.assemble(frame, largest=40).collect()}
     assert (large[1].text, large[1].too_large, large[1].page_count) == (None, True, 12)
     assert not large[2].too_large
+    told = {r.doc_id: r for r in pages.extract_pages(pages.assemble(frame, largest=40)).collect()}
+    assert (told[1].success, told[1].error, told[1].confidence_score) == (False, pages.TOO_LARGE, 0.0)
+    assert (told[2].success, told[2].error, told[2].confidence_score) == (True, "No page text", 0.5)
 
 
 def test_one_row_for_any_number_of_pages(spark):

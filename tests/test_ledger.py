@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from intakeloom.operators import ledger
+from intakeloom.operators import ledger, search_index
 from intakeloom.plans.intake import ledger_rows, route_and_extract
 from intakeloom.session import shared_folder
 from intakeloom.sources import files
@@ -210,3 +211,58 @@ def test_format_filter_prunes_partitions(spark, records):
     ledger.append(records, path)
     plan = plan_of(ledger.filtered(ledger.read(spark, path), "PDF"))
     assert "PartitionFilters: [isnotnull(format" in plan
+
+
+def test_search_by_index(spark, records):
+    """Scan and index agree on wildcards, case, short queries, changed and deleted records."""
+    path = shared_folder(spark, "indexed-test")
+    odd = ledger.new_records(spark.createDataFrame(
+        [("9", "İSTANBUL Ünïcode.txt", "EMAIL", "inquiry", None), ("10", "", "EMAIL", "x", "ab"), ("11", "a\\b_c.txt", "PDF", "inquiry", "")],
+        "id string, source string, format string, intent string, extracted_fields string",
+    ).withColumn("timestamp", at()))
+    first = records.unionByName(odd)
+    ledger.append(first, f"{path}/ledger", "a")
+    search_index.add(first, f"{path}/index", "a")
+    whole = ledger.read(spark, f"{path}/ledger")
+    change = spark.createDataFrame([("1", "renamed.txt"), ("3", "important_too.txt")], "id string, source string")
+    ledger.append(ledger.update(whole, change, at()), f"{path}/ledger", "b")
+    ledger.append(ledger.delete(whole, spark.createDataFrame([("2",)], "id string"), at()), f"{path}/ledger", "c")
+    for _ in range(2):  # the same batch again replaces itself
+        search_index.add(ledger.read(spark, f"{path}/ledger").where("version > 1"), f"{path}/index", "b")
+    whole, index = ledger.read(spark, f"{path}/ledger"), search_index.read(spark, f"{path}/index")
+    for text in ("important", "IMPORTANT_MAIL", "john", "inq%iry", "50%_off", "x", "", "%", "a\\b_c", "ünï", "stanbul", "no such text", "renamed.TXT", "_too."):
+        wanted = ids(ledger.search(ledger.latest(whole), text))
+        assert ids(search_index.search(whole, index, text)) == wanted, text
+    assert ids(search_index.search(whole, index, "important")) == ["3"]
+    plan = search_index.candidates(index, ["imp", "mpo"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert "In(gram, [imp,mpo])" in plan
+
+
+def test_positions_of_a_busy_moment(spark):
+    """A thread with one busy moment, null threads, equal times: positions as a window gives them."""
+    rows = spark.range(3000).selectExpr(
+        "cast(id AS string) AS id", "CASE WHEN id % 3 < 2 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE cast(id % 11 AS string) END AS thread_id",
+        "timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id % 2 AS int)) AS timestamp",
+    )
+    window = Window.partitionBy("thread_id").orderBy("timestamp", "id")
+    wanted = {r.id: r.n for r in rows.withColumn("n", F.row_number().over(window)).collect()}
+    assert {r.id: r.position for r in ledger.with_positions(rows).collect()} == wanted
+    assert ledger.with_positions(rows.where("false")).count() == 0
+
+
+def test_order_of_lists(spark):
+    """Whole lists over the given events come in their order, not only with the right rows."""
+    from intakeloom.plans.views import view
+
+    found = ledger.new_records(view(spark, "/root/testdata/sf0.001", "ledger"))
+    newest = [(r.timestamp, r.id) for r in found.select("timestamp", "id").collect()]
+    newest.sort(reverse=True)
+    assert [(r.timestamp, r.id) for r in ledger.recent(found).collect()] == newest[:50]
+    assert [r.id for r in ledger.listing(found).collect()] == [i for _, i in newest[:50]]
+    status = [(r.timestamp, r.id) for r in ledger.by_status(found, "completed").collect()]
+    assert status == sorted(status, reverse=True) and len(status) > 50
+    hits = [(r.timestamp, r.id) for r in ledger.search(found, "user1").collect()]
+    assert hits == sorted(hits, reverse=True) and len(hits) == 20
+    threads = [(r.thread_id, r.timestamp, r.id) for r in ledger.all_threads(found).collect()]
+    assert threads == sorted(threads)
