@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from intakeloom.functions import jsontext
 from intakeloom.functions.text import sanitize
-from intakeloom.operators import ledger, prompts, quality, search_index
+from intakeloom.operators import ledger, prompts, quality, search_index, summaries
 from intakeloom.plans import oracle_text as o
 from intakeloom.plans.registry import joined, query, stamp
 from intakeloom.plans.views import view
@@ -263,6 +263,36 @@ def statistics(spark, folder):
     return ledger.statistics(_records(spark, folder))
 
 
+_CHANGED = f"""(SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'reviewed' ELSE status END AS status,
+    CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 2.5 ELSE processing_time END AS processing_time)
+    FROM {LEDGER} WHERE CAST(id AS BIGINT) % 7 <> 0)"""
+
+
+@query(
+    "l14_summaries",
+    f"""SELECT 'total' AS facet, CAST(NULL AS STRING) AS value, count(*) AS count, {_MEAN} AS avg_processing_time FROM {_CHANGED}
+        UNION ALL SELECT 'status', status, count(*), NULL FROM {_CHANGED} GROUP BY status
+        UNION ALL SELECT 'format', format, count(*), NULL FROM {_CHANGED} GROUP BY format
+        UNION ALL SELECT 'intent', intent, count(*), NULL FROM {_CHANGED} GROUP BY intent""",
+)
+def summarised(spark, folder):
+    """Statistics from each batch's differences, after updates and deletions, one batch written twice."""
+    path = shared_folder(configure(spark), "summarised")
+    paths = f"{path}/ledger", f"{path}/summaries"
+    at = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    summaries.append(_records(spark, folder), *paths, "first")
+    whole = ledger.read(spark, paths[0])
+    change = whole.where("CAST(id AS BIGINT) % 5 = 0").select(
+        "id", F.lit("reviewed").alias("status"), F.lit(2.5).cast("double").alias("processing_time")
+    )
+    changed = ledger.update(whole, change, at)
+    for _ in range(2):
+        summaries.append(changed, *paths, "second")
+    gone = whole.where("CAST(id AS BIGINT) % 7 = 0").select("id")
+    summaries.append(ledger.delete(ledger.read(spark, paths[0]), gone, at), *paths, "third")
+    return summaries.statistics(summaries.read(spark, paths[1]))
+
+
 def _search(name: str, wanted: str, pattern: str):
     hits = " OR ".join(
         f"{c} ILIKE {o.lit(pattern)}" for c in ("source", "intent", "extracted_fields", "sender")

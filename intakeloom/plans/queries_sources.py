@@ -294,15 +294,15 @@ _PROSE = (
 )
 
 
-@query(
-    "s14_stream_intake",
-    f"""SELECT CASE WHEN ok THEN source ELSE 'error' END AS source,
+_STREAMED = f"""SELECT CASE WHEN ok THEN source ELSE 'error' END AS source,
         CASE WHEN ok THEN 'EMAIL' ELSE 'ERROR' END AS format,
         CASE WHEN ok THEN rule_intent ELSE 'error' END AS intent,
         CASE WHEN ok THEN {o.mail_confidence()} ELSE 0.0::DOUBLE END AS confidence_score,
         CASE WHEN ok THEN 'completed' ELSE 'ERROR' END AS status, 'email' AS processed_by
-        FROM (SELECT *, length({o.trim('text')}) >= 10 AS ok FROM {o.mail_parsed(o.ruled(_PROSE))})""",
-)
+        FROM (SELECT *, length({o.trim('text')}) >= 10 AS ok FROM {o.mail_parsed(o.ruled(_PROSE))})"""
+
+
+@query("s14_stream_intake", _STREAMED)
 def stream_intake(spark, folder):
     """The documents as a stream of plain-text mails, recorded and read back."""
     arriving = tables.table_stream(spark, folder, "documents").select(
@@ -330,6 +330,27 @@ def stream_intake(spark, folder):
     )
 
 
+@query("s14_delivered_twice", _STREAMED)
+def delivered_twice(spark, folder):
+    """Every file arrives twice, in batches of their own and in two runs; each document is recorded once."""
+    path = shared_folder(configure(spark), "twice")
+    docs = tables.table(spark, folder, "documents")
+    named = F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    for turn in ("first", "second"):
+        docs.select("doc_id", named, "text").write.mode("append").parquet(f"{path}/arrived")
+        if turn == "first":
+            docs.where("doc_id % 3 = 0").select("doc_id", named, "text").write.mode("append").parquet(f"{path}/arrived")
+        arriving = spark.readStream.schema("doc_id bigint, source string, text string").option("maxFilesPerTrigger", 1)
+        running = record_stream(
+            arriving.parquet(f"{path}/arrived"), at, f"{path}/ledger", f"{path}/checkpoint", once_within="1 day"
+        )
+        running.awaitTermination()
+    return ledger.read(spark, f"{path}/ledger").select(
+        "source", "format", "intent", F.round("confidence_score", 6).alias("confidence_score"), "status", "processed_by"
+    )
+
+
 @query(
     "s14_streamed_then_changed",
     """SELECT source || '-' || CAST(doc_id AS STRING) || '.txt' AS source,

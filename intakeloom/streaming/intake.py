@@ -1,7 +1,8 @@
 """Documents arrive, are classified, extracted and recorded as they come.
 
-The stream runs the batch plan unchanged: nothing in it keeps state, so there
-is no watermark.  Each batch is written under a name made of the checkpoint and
+The stream runs the batch plan unchanged and keeps no state, unless documents
+delivered twice are to be recorded once: then the hashes of what came within a
+watermark are the state.  Each batch is written under a name made of the checkpoint and
 the batch's number: a restart that repeats it replaces what it wrote, and batch
 jobs add their own changes to the same ledger.
 """
@@ -26,17 +27,26 @@ def record_stream(
     key: str = "doc_id",
     source: str = "source",
     keep: list[str] | None = None,
+    once_within: str | None = None,
     **plan: object,
 ) -> StreamingQuery:
     """Start a query that appends a ledger record per arriving document.
 
     It takes what is there and stops (``availableNow``); schedule it again for
     what arrived since.  Paths belong into a folder all executors share.
+
+    With ``once_within``, an interval of received time, a document of the same
+    source and content that comes again within it adds no record, also in a
+    later batch or a later run.  Only outcomes are compared and kept, never
+    texts; state older than the interval is dropped.
     """
     arrived = docs.withColumn("_received_at", received_at)
     results = route_and_extract(
         arrived, key=key, keep=[source, "_received_at", *(keep or [])], **plan
     )
+    if once_within is not None:
+        timed = results.withWatermark("_received_at", once_within)
+        results = timed.dropDuplicatesWithinWatermark([source, "content_md5"])
     records = ledger_rows(results, F.col("_received_at"), key, source)
     name = md5(checkpoint_path.encode()).hexdigest()
 

@@ -266,3 +266,24 @@ def test_order_of_lists(spark):
     assert hits == sorted(hits, reverse=True) and len(hits) == 20
     threads = [(r.thread_id, r.timestamp, r.id) for r in ledger.all_threads(found).collect()]
     assert threads == sorted(threads)
+
+
+def test_lookup_by_id_skips_row_groups(spark):
+    """An id no file holds is looked for in no row group, though it lies between the files' ids."""
+    path = shared_folder(spark, "bloom")
+    rows = spark.range(20000).selectExpr(
+        "sha2(cast(id AS string), 256) AS id", "'s' AS source", "'PDF' AS format", "'order' AS intent", "timestamp '2024-01-01' AS timestamp"
+    )
+    ledger.append(ledger.new_records(rows.repartition(4)), path)
+
+    def scanned(wanted):
+        found = ledger.read(spark, path).where(F.col("id") == wanted)
+        count = len(found.collect())
+        plan = found._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        return count, sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+    hit = rows.first().id
+    assert scanned("8" + "0" * 63) == (0, 0)
+    found, read = scanned(hit)
+    assert found == 1 and 0 < read < 20000
