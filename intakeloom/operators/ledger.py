@@ -94,9 +94,11 @@ def append(records: DataFrame, path: str, batch: str | None = None) -> None:
     writer.parquet(f"{path}/batch={name}")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records, whether a stream or a batch job wrote them."""
-    return spark.read.schema(T.StructType([*SCHEMA.fields, T.StructField("batch", T.StringType())])).parquet(path).drop("batch")
+def read(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
+    """All records, whether a stream or a batch job wrote them; ``but`` names a batch to leave out."""
+    schema = T.StructType([*SCHEMA.fields, T.StructField("batch", T.StringType())])
+    rows = spark.read.schema(schema).parquet(path)
+    return (rows if but is None else rows.where(F.col("batch") != but)).drop("batch")
 
 
 def clear(spark: SparkSession, path: str) -> None:

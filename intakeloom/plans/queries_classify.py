@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from intakeloom import fixed_values as fv
 from intakeloom.functions import jsontext, names
 from intakeloom.functions.text import preview
-from intakeloom.operators import classify, prompts, replies
+from intakeloom.operators import classify, ledger, prompts, replies
 from intakeloom.plans import oracle_text as o
 from intakeloom.plans.intake import ledger_rows, route_and_extract
 from intakeloom.plans.registry import query
 from intakeloom.plans.views import view
+from intakeloom.session import configure, shared_folder
 from intakeloom.sources import tables
+from intakeloom.streaming.intake import record_stream, reply_stream
 
 MIXED = o.source("mixed")
 DETECTED = o.detected(MIXED)
@@ -125,6 +127,37 @@ def arbitration(spark, folder):
     )
 
 
+@query(
+    "c09_late_replies",
+    f"""SELECT source, CASE WHEN take THEN reply_intent ELSE rule_intent END AS intent,
+        CAST(CASE WHEN response IS NULL THEN 1 ELSE 2 END AS BIGINT) AS version
+        FROM (SELECT a.*, r.response FROM {_ARBITRATED} a LEFT JOIN {REPLIES} r ON r.doc_id = a.doc_id)""",
+)
+def late_replies(spark, folder):
+    """Mails are recorded as they come; replies of later batches, some twice, change each record once."""
+    path = shared_folder(configure(spark), "late")
+    mails = view(spark, folder, "mails").select("doc_id", "source", "text", F.col("received_at").cast("timestamp"))
+    mails.write.parquet(f"{path}/mails")
+    at = F.col("received_at")
+    answers = view(spark, folder, "replies").where("response IS NOT NULL").join(mails.select("doc_id", "received_at"), "doc_id")
+    answers = answers.select("doc_id", "response", (at + F.expr("INTERVAL 3 HOURS")).alias("replied_at"))
+    spark.createDataFrame([], answers.schema).write.parquet(f"{path}/replies")
+
+    def arriving(name: str, rows):
+        return spark.readStream.schema(rows.schema).parquet(f"{path}/{name}")
+
+    within = "10000 days"
+    record_stream(arriving("mails", mails), at, f"{path}/ledger", f"{path}/recorded").awaitTermination()
+    for rule in ("doc_id % 2 = 0", "doc_id % 2 = 1 OR doc_id % 4 = 0"):
+        answers.where(rule).write.mode("append").parquet(f"{path}/replies")
+        replies_to = arriving("replies", answers)
+        running = reply_stream(
+            arriving("mails", mails), at, replies_to, f"{path}/ledger", f"{path}/changed", within, "intent_reply"
+        )
+        running.awaitTermination()
+    return ledger.latest(ledger.read(spark, f"{path}/ledger")).select("source", "intent", "version")
+
+
 @query(
     "c10_routing",
     f"""SELECT target_agent, count(*) AS documents

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from intakeloom.operators import ledger
-from intakeloom.plans.intake import ledger_rows, route_and_extract
+from intakeloom.plans.intake import intake_facts, intake_outcomes, ledger_rows, route_and_extract
 
 
 def record_stream(
@@ -60,3 +60,68 @@ def record_stream(
         .foreachBatch(record)
         .start()
     )
+
+
+#: Columns of a record that a reply may change.
+REPLIED = ["intent", "extracted_fields", "confidence_score", "status", "error_message"]
+
+
+def reply_stream(
+    docs: DataFrame,
+    received_at: Column,
+    replies: DataFrame,
+    ledger_path: str,
+    checkpoint_path: str,
+    within: str,
+    kind: str = "mail_reply",
+    key: str = "doc_id",
+    source: str = "source",
+    keep: list[str] | None = None,
+    **plan: object,
+) -> StreamingQuery:
+    """Start a query that changes records when replies to their documents arrive, in whatever batch.
+
+    ``docs`` is the stream :func:`record_stream` records, ``replies`` a stream of
+    ``key, response, replied_at``.  Both wait for each other for the interval
+    ``within``: facts about documents (never texts) and replies are the state of
+    a join, and what is older than the watermark is dropped.  ``kind`` is
+    ``intent_reply``, ``mail_reply`` or ``page_reply``.
+
+    A record is changed once: the first reply that meets its document counts,
+    further ones within the interval are dropped, and a batch that is repeated
+    replaces what it wrote.
+    """
+    held = [source, "_received_at", *(keep or [])]
+    arrived = docs.withColumn("_received_at", received_at)
+    facts = intake_facts(arrived, key=key, keep=held, **plan).withWatermark("_received_at", within)
+    came = replies.select(
+        F.col(key).alias("_reply_to"), F.col("response").alias("_response"), F.col("replied_at").alias("_replied_at")
+    ).withWatermark("_replied_at", within)
+    interval = F.expr(f"INTERVAL {within}")
+    met = (
+        (F.col(key) == F.col("_reply_to"))
+        & (F.col("_replied_at") >= F.col("_received_at"))
+        & (F.col("_replied_at") <= F.col("_received_at") + interval)
+    )
+    # a stream has one event time, here the document's
+    answered = facts.join(came, met).drop("_replied_at", "_reply_to").dropDuplicatesWithinWatermark([key])
+    none = F.lit(None).cast("string")
+    kinds = ("intent_reply", "mail_reply", "page_reply")
+    answered = answered.withColumns({k: F.col("_response") if k == kind else none for k in kinds})
+    results = intake_outcomes(answered, key, held)
+    records = ledger_rows(results, F.col("_received_at"), key, source)
+    name = md5(checkpoint_path.encode()).hexdigest()
+
+    def change(rows: DataFrame, number: int) -> None:
+        # what this very batch wrote before a failure is not what it changes
+        before = ledger.read(rows.sparkSession, ledger_path, but=f"{name}-{number}")
+        changes = ledger.update(before, rows.select("id", *REPLIED), F.current_timestamp())
+        ledger.append(changes, ledger_path, f"{name}-{number}")
+
+    return (
+        records.writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(availableNow=True)
+        .foreachBatch(change)
+        .start()
+    )
