@@ -15,14 +15,23 @@ looks the tokens of a list up in the vocabulary and aggregates them in order.
 * The ranks are a file of bounded size (a vocabulary), read by the driver and
   sent along with the tasks.  Memory of a task: one Arrow batch, the words of a
   slice of it, and about ``CACHE`` words met before; older ones are forgotten.
+* A recursive query keeps the tokens of all its steps, so words are batched by
+  the rows their steps can make, and long words are contracted a few steps at a
+  time: each query goes on from where the one before ended, until nothing is
+  left to contract.  What a single word makes beyond that, DuckDB spills to the
+  task's own temporary folder.  Texts beyond ``SLICE`` are cut into words bit by
+  bit.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import shutil
 import sys
+import tempfile
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -37,6 +46,8 @@ CACHE = 300_000
 LONG = 48
 SLICE = 2_000_000  # characters encoded at a time
 BATCH = 25_000  # words a recursive query takes at a time
+HELD = 2_000_000  # rows all steps of a recursive query can make
+PART = 200_000  # words of a long text taken at a time
 
 # A token's place is its word's number times 2**32 plus its position.
 _NEIGHBOURS = """
@@ -44,7 +55,7 @@ _NEIGHBOURS = """
   lead(id) OVER w AS next_id
 """
 _RESULT = """
-SELECT word, list(id ORDER BY spot) AS ids
+SELECT word, list(id ORDER BY spot) AS ids, any_value(last) AS steps
 FROM tokens JOIN (SELECT spot >> 32 AS word, max(step) AS last FROM tokens GROUP BY 1)
   ON word = spot >> 32 AND step = last
 GROUP BY 1
@@ -73,7 +84,7 @@ WITH RECURSIVE tokens AS (
   UNION ALL
   (WITH ranked AS (
      SELECT spot, next_spot, rank, alone FROM tokens JOIN merges ON pair = (id::BIGINT << 32 | next_id)
-     WHERE next_spot IS NOT NULL),
+     WHERE next_spot IS NOT NULL AND step < $steps),
    best AS (
      SELECT spot >> 32 AS word, min(rank << 32 | (spot & 4294967295)) AS least FROM ranked GROUP BY 1),
    hits AS (
@@ -103,10 +114,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _connection() -> duckdb.DuckDBPyConnection:
-    found = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-    found.execute("SET enable_progress_bar = false")
-    return found
+class Duck:
+    """A database in memory that may spill to a folder of its own, which goes with it."""
+
+    def __init__(self) -> None:
+        self.folder = tempfile.mkdtemp()
+        config = {"threads": 1, "memory_limit": "300MB", "temp_directory": self.folder}
+        self.base = duckdb.connect(config=config)
+        self.base.execute("SET enable_progress_bar = false")
+
+    def close(self) -> None:
+        self.base.close()
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
+def _batched(words: list[tuple], rows) -> Iterator[list[tuple]]:
+    """Consecutive words whose steps make about ``HELD`` rows at most, one at least."""
+    batch, held = [], 0
+    for word in words:
+        size = rows(word[1])
+        if batch and (held + size > HELD or len(batch) >= BATCH):
+            yield batch
+            batch, held = [], 0
+        batch.append(word)
+        held += size
+    if batch:
+        yield batch
 
 
 class Splitter:
@@ -131,18 +164,26 @@ class Splitter:
         self.known: set[str] = set()
 
     def __call__(self, text: str) -> list[str]:
+        return self._for(text).findall(text)
+
+    def each(self, text: str) -> Iterator[str]:
+        """The same matches one after another."""
+        return (found.group() for found in self._for(text).finditer(text))
+
+    def _for(self, text: str):
+        """The pattern to use for a text."""
         if self.quick is None:
-            return self.exact.findall(text)
+            return self.exact
         if not text.isascii():
             fresh = set(text) - self.known
             if fresh:
                 alike = {c for c in fresh if not self.UNLIKE.match(c) and self._same(c)}
                 self.known |= alike
                 if len(alike) < len(fresh):
-                    return self.exact.findall(text)
+                    return self.exact
         elif self.SEPARATORS.search(text):
-            return self.exact.findall(text)
-        return self.quick.findall(text)
+            return self.exact
+        return self.quick
 
     def _same(self, sign: str) -> bool:
         kinds = ((r"\s", r"\s"), (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"))
@@ -173,7 +214,8 @@ class Encoder:
                 "alone": [rank in inverted for rank in merged],
             }
         )
-        self.duck = _connection()
+        self.store = Duck()
+        self.duck = self.store.base
         self.duck.register("merge_rows", merges)
         self.duck.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
 
@@ -187,34 +229,59 @@ class Encoder:
                 self.cache[word] = rank.to_bytes(4, sys.byteorder)
             else:
                 (short if len(data) <= LONG else long).append((word, data))
-        for some, sql in ((short, SHORT_WORDS), (long, LONG_WORDS)):
-            for at in range(0, len(some), BATCH):
-                self._contract(some[at : at + BATCH], sql)
-
-    def _contract(self, some: list[tuple[str, bytes]], sql: str) -> None:
-        lengths = np.array([len(data) for _, data in some], np.int64)
+        for some in _batched(short, lambda data: len(data) * (len(data) + 2) // 2):
+            starts = [self.bytes[np.frombuffer(data, np.uint8)] for _, data in some]
+            for k, (ids, _) in self._contracted(starts, SHORT_WORDS, {}).items():
+                self.cache[some[k][0]] = ids.tobytes()
+        open_ = [(word, self.bytes[np.frombuffer(data, np.uint8)]) for word, data in long]
+        while open_:
+            left = []
+            for some in _batched(open_, lambda ids: 8 * len(ids)):
+                steps = max(1, HELD // sum(len(ids) for _, ids in some))
+                found = self._contracted([ids for _, ids in some], LONG_WORDS, {"steps": steps})
+                for k, (ids, taken) in found.items():
+                    if taken < steps:
+                        self.cache[some[k][0]] = ids.tobytes()
+                    else:
+                        left.append((some[k][0], ids))
+            open_ = left
+
+    def _contracted(self, starts: list[np.ndarray], sql: str, bound: dict) -> dict[int, tuple[np.ndarray, int]]:
+        """Ids after the query's steps and the number of steps, for words given as ids."""
+        lengths = np.array([len(ids) for ids in starts], np.int64)
         first = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(data for _, data in some), np.uint8)
-        number = np.repeat(np.arange(len(some), dtype=np.int64), lengths)
+        flat = np.concatenate(starts)
+        number = np.repeat(np.arange(len(starts), dtype=np.int64), lengths)
         place = np.arange(len(flat), dtype=np.int64) - first[number]
-        self.duck.register("start", pa.table({"spot": number << 32 | place, "id": self.bytes[flat]}))
-        found = self.duck.sql(sql).to_arrow_table()
+        self.duck.register("start", pa.table({"spot": number << 32 | place, "id": flat}))
+        found = self.duck.sql(sql, params=bound or None).to_arrow_table()
         self.duck.unregister("start")
         lists = found["ids"].combine_chunks()
-        data, ends = lists.values.to_numpy().tobytes(), lists.offsets.to_pylist()
-        for k, word in enumerate(found["word"].to_numpy().tolist()):
-            self.cache[some[word][0]] = data[4 * ends[k] : 4 * ends[k + 1]]
+        data, ends = lists.values.to_numpy().astype(np.int32, copy=False), lists.offsets.to_pylist()
+        words, steps = found["word"].to_numpy().tolist(), found["steps"].to_numpy().tolist()
+        return {word: (data[ends[k] : ends[k + 1]], steps[k]) for k, word in enumerate(words)}
 
-    def encode(self, texts: list[str | None]) -> pa.ListArray:
-        cut = [self.split(text) if text else [] for text in texts]
+    def _known(self, cut: list[list[str]]) -> None:
+        """See to it that the cache has all these words."""
         if len(self.cache) > CACHE // 2:
             self.older, self.cache = self.cache, {}
         fresh = set().union(*cut) - self.cache.keys()
         for word in fresh & self.older.keys():
             self.cache[word] = self.older[word]
         self.learn(fresh - self.cache.keys())
-        look = self.cache.__getitem__
-        ids = [b"".join(map(look, words)) for words in cut]
+
+    def encode(self, texts: list[str | None]) -> pa.ListArray:
+        if len(texts) == 1 and len(texts[0] or "") > SLICE:
+            words, parts = self.split.each(texts[0]), []
+            while part := list(islice(words, PART)):
+                self._known([part])
+                parts.append(b"".join(map(self.cache.__getitem__, part)))
+            ids = [b"".join(parts)]
+        else:
+            cut = [self.split(text) if text else [] for text in texts]
+            self._known(cut)
+            look = self.cache.__getitem__
+            ids = [b"".join(map(look, words)) for words in cut]
         ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
         flat = np.frombuffer(b"".join(ids), np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
@@ -226,7 +293,8 @@ class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
         by_id = {rank: token.decode("latin-1") for token, rank in ranks.items()}
         pieces = [by_id.get(rank, "") for rank in range(max(by_id) + 1)]
-        self.duck = _connection()
+        self.store = Duck()
+        self.duck = self.store.base
         self.duck.register("piece_rows", pa.table({"id": np.arange(len(pieces)), "piece": pieces}))
         self.duck.execute("CREATE TABLE vocabulary AS SELECT list(piece ORDER BY id) AS pieces FROM piece_rows")
 
@@ -276,7 +344,7 @@ def _coded(
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
         for part in (encoder, decoder):
             if part is not None:
-                part.duck.close()
+                part.store.close()
 
     return kept.mapInArrow(run, schema)
 
