@@ -46,7 +46,7 @@ CACHE = 300_000
 LONG = 48
 SLICE = 2_000_000  # characters encoded at a time
 BATCH = 25_000  # words a recursive query takes at a time
-HELD = 2_000_000  # rows all steps of a recursive query can make
+HELD = 4_000_000  # rows all steps of a recursive query can make
 PART = 200_000  # words of a long text taken at a time
 
 # A token's place is its word's number times 2**32 plus its position.
@@ -230,36 +230,37 @@ class Encoder:
             else:
                 (short if len(data) <= LONG else long).append((word, data))
         for some in _batched(short, lambda data: len(data) * (len(data) + 2) // 2):
-            starts = [self.bytes[np.frombuffer(data, np.uint8)] for _, data in some]
-            for k, (ids, _) in self._contracted(starts, SHORT_WORDS, {}).items():
-                self.cache[some[k][0]] = ids.tobytes()
-        open_ = [(word, self.bytes[np.frombuffer(data, np.uint8)]) for word, data in long]
+            lengths = np.array([len(data) for _, data in some], np.int64)
+            flat = self.bytes[np.frombuffer(b"".join(data for _, data in some), np.uint8)]
+            for k, ids, _ in self._contracted(flat, lengths, SHORT_WORDS, {}):
+                self.cache[some[k][0]] = ids
+        open_ = [(word, self.bytes[np.frombuffer(data, np.uint8)].tobytes()) for word, data in long]
         while open_:
             left = []
-            for some in _batched(open_, lambda ids: 8 * len(ids)):
-                steps = max(1, HELD // sum(len(ids) for _, ids in some))
-                found = self._contracted([ids for _, ids in some], LONG_WORDS, {"steps": steps})
-                for k, (ids, taken) in found.items():
+            for some in _batched(open_, lambda ids: 2 * len(ids)):
+                lengths = np.array([len(ids) // 4 for _, ids in some], np.int64)
+                steps = max(1, HELD // int(lengths.sum()))
+                flat = np.frombuffer(b"".join(ids for _, ids in some), np.int32)
+                for k, ids, taken in self._contracted(flat, lengths, LONG_WORDS, {"steps": steps}):
                     if taken < steps:
-                        self.cache[some[k][0]] = ids.tobytes()
+                        self.cache[some[k][0]] = ids
                     else:
                         left.append((some[k][0], ids))
             open_ = left
 
-    def _contracted(self, starts: list[np.ndarray], sql: str, bound: dict) -> dict[int, tuple[np.ndarray, int]]:
-        """Ids after the query's steps and the number of steps, for words given as ids."""
-        lengths = np.array([len(ids) for ids in starts], np.int64)
+    def _contracted(self, flat: np.ndarray, lengths: np.ndarray, sql: str, bound: dict) -> Iterator[tuple[int, bytes, int]]:
+        """Number, ids after the query's steps and number of steps, of words given as ids one after another."""
         first = np.cumsum(lengths) - lengths
-        flat = np.concatenate(starts)
-        number = np.repeat(np.arange(len(starts), dtype=np.int64), lengths)
+        number = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
         place = np.arange(len(flat), dtype=np.int64) - first[number]
         self.duck.register("start", pa.table({"spot": number << 32 | place, "id": flat}))
         found = self.duck.sql(sql, params=bound or None).to_arrow_table()
         self.duck.unregister("start")
         lists = found["ids"].combine_chunks()
-        data, ends = lists.values.to_numpy().astype(np.int32, copy=False), lists.offsets.to_pylist()
+        data, ends = lists.values.to_numpy().astype(np.int32, copy=False).tobytes(), lists.offsets.to_pylist()
         words, steps = found["word"].to_numpy().tolist(), found["steps"].to_numpy().tolist()
-        return {word: (data[ends[k] : ends[k + 1]], steps[k]) for k, word in enumerate(words)}
+        for k, word in enumerate(words):
+            yield word, data[4 * ends[k] : 4 * ends[k + 1]], steps[k]
 
     def _known(self, cut: list[list[str]]) -> None:
         """See to it that the cache has all these words."""
