@@ -12,8 +12,9 @@ compared only around hashes that several documents keep.
   by a cut are not looked for.
 * Every row is a document.  Rows of one id and text are treated alike; a null id
   comes after all others.  A null text stays null.  Other columns pass through.
-* A document gives each hash once, so counts combine before the shuffle, and
-  joins by hash are salted.  A document's own hashes are all a task ever gathers.
+* A document gives each hash once, so counts combine before the shuffle; rows of
+  hashes that many documents hold are not shuffled at all.  A document's own
+  hashes are all a task ever gathers.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intakeloom.llm.shared import written
-from intakeloom.llm.templates import LAST_ID, SALTS
+from intakeloom.llm.shared import met, written
+from intakeloom.llm.templates import beside, places
 
 RUN, GRAM = 50, 25
 _REMEMBERED = 150_000
@@ -106,7 +107,7 @@ def _found(frame: DataFrame, find, columns: int, purpose: str) -> DataFrame:
                 names=["id", "spot", "keys"],
             )
 
-    found = written(frame.mapInArrow(run, "id bigint, spot bigint, keys array<bigint>"), purpose)
+    found = written(frame.mapInArrow(run, "id bigint, spot int, keys array<bigint>"), purpose)
     return found.select("id", "spot", F.explode("keys").alias("key"))
 
 
@@ -114,40 +115,31 @@ def _shared(held: DataFrame, only_later: bool) -> DataFrame:
     """(id, spot, keys): of every document the keys that documents of other ids hold, or those of smaller ids."""
     several = (
         held.groupBy("key")
-        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        .agg(F.count("*").alias("rows"), F.min("id").alias("first"), F.max("id").alias("last"))
         .where("first < last")
-        .select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .drop("last")
     )
-    met = held.withColumn("salt", F.pmod(F.xxhash64("id", "spot"), F.lit(SALTS)).cast("int")).join(
-        several, ["key", "salt"]
-    )
-    return (met.where("id > first") if only_later else met).groupBy("id", "spot").agg(F.collect_set("key").alias("keys"))
+    found = met(held, several, "passage-shared")
+    return (found.where("id > first") if only_later else found).groupBy("id", "spot").agg(F.collect_set("key").alias("keys"))
 
 
 def without_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with repeated passages cut out of the text."""
-    row_id = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST_ID))
-    row_spot = F.xxhash64(F.col(f"`{text_col}`"))
-    texts = documents.select(row_id.alias("id"), row_spot.alias("spot"), F.col(f"`{text_col}`").alias("text"))
+    place = places(id_col, text_col)
+    texts = documents.select(*place, F.col(f"`{text_col}`").alias("text"))
     kept = _shared(_found(texts, kept_hashes, 1, "passage-hashes"), False)
     around = texts.join(kept, ["id", "spot"]).select("id", "spot", "text", "keys")
     runs = _found(around, lambda text, keys: runs_around(text, np.array(keys, np.int64)), 2, "passage-runs")
-    gone = _shared(runs, True).select(
-        F.col("id").alias("passage_id"), F.col("spot").alias("passage_spot"), F.col("keys").alias("passage_keys")
-    )
-    joined = documents.join(
-        gone, (row_id == F.col("passage_id")) & (row_spot == F.col("passage_spot")), "left"
-    ).select(*[F.col(f"`{c}`") for c in documents.columns], "passage_keys")
+    joined = beside(documents, _shared(runs, True), place)
     names, at = documents.columns, documents.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(batch.num_columns - 1).to_pylist()
+            columns = batch.column(0).flatten()
             texts = [
                 cut(text, np.array(gone, np.int64)) if gone else text
-                for text, gone in zip(batch.column(at).to_pylist(), keys)
+                for text, gone in zip(columns[at].to_pylist(), batch.column(1).to_pylist())
             ]
-            columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -2,8 +2,9 @@
 
 A line is parsed down a tree of fixed depth: by its number of tokens, then by its
 first ``LEADING`` tokens, where a token with a digit stands for any.  At the leaf
-the rest of the line is a template as it is, and, for lines of ``FIELDS`` tokens
-and more, with any one of its four quarters generalised to a variable field.
+the rest of a line of fewer than ``FIELDS`` tokens is a template as it is; a longer
+one belongs to four templates, each with one of its quarters generalised to a
+variable field, and equal lines to the same four.
 A template is recurring when ``min_docs`` documents or more hold it.  A line with
 a recurring template is dropped everywhere but in the document of the smallest
 id that holds the template.
@@ -15,8 +16,8 @@ id that holds the template.
 * A null text stays null and has no lines.  An empty table gives no rows.  Other
   columns pass through, whatever their names.
 * A document gives each of its templates once, so counts combine before the
-  shuffle; a template that a third of all documents hold is joined in ``SALTS``
-  parts.  A document's own lines are all a task ever gathers.
+  shuffle; rows of templates that many documents hold are not shuffled at all.
+  A document's own lines are all a task ever gathers.
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intakeloom.llm.shared import written
+from intakeloom.llm.shared import met, written
 
 LEADING, FIELDS, MIN_TOKENS = 2, 8, 4
-SALTS = 8
 LAST_ID = 2**63 - 1
+SPOTS = 2**20
 
 _VARIABLE = re.compile(rb"\S*[0-9]\S*")
 
@@ -52,21 +53,33 @@ def templates(line: str) -> list[int]:
         return []
     path = [b"%d" % len(tokens), *tokens[:LEADING]]
     rest = tokens[LEADING:]
-    found = [_number([*path, b"all", *rest])]
-    if len(tokens) >= FIELDS:
-        for quarter in range(4):
-            start, end = len(rest) * quarter // 4, len(rest) * (quarter + 1) // 4
-            found.append(_number([*path, b"but %d" % quarter, *rest[:start], b"<*>", *rest[end:]]))
+    if len(tokens) < FIELDS:
+        return [_number([*path, b"all", *rest])]
+    found = []
+    for quarter in range(4):
+        start, end = len(rest) * quarter // 4, len(rest) * (quarter + 1) // 4
+        found.append(_number([*path, b"but %d" % quarter, *rest[:start], b"<*>", *rest[end:]]))
     return found
 
 
+def places(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A row's id, and a small number that parts the rows of one id by their texts."""
+    row_id = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST_ID))
+    return row_id.alias("id"), F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(SPOTS)).cast("int").alias("spot")
+
+
+def beside(documents: DataFrame, keys: DataFrame, place: tuple[Column, Column]) -> DataFrame:
+    """(row, keys): the rows whole, as structs, so that no name clashes, and the keys (id, spot, keys) of their places."""
+    rows = documents.select(*place, F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    return rows.join(keys, ["id", "spot"], "left").select("row", "keys")
+
+
 def without_recurring(
     documents: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``documents`` with recurring lines taken out of the text, ``template_lines`` and ``template_dropped``."""
     kept = documents.drop("template_lines", "template_dropped")
-    row_id = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST_ID))
-    row_spot = F.xxhash64(F.col(f"`{text_col}`"))
+    place = places(id_col, text_col)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,28 +92,23 @@ def without_recurring(
             )
 
     held = written(
-        documents.select(row_id.alias("id"), row_spot.alias("spot"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
-            keys, "id bigint, spot bigint, keys array<bigint>"
+        documents.select(*place, F.col(f"`{text_col}`").alias("text")).mapInArrow(
+            keys, "id bigint, spot int, keys array<bigint>"
         ),
         "template-keys",
     ).select("id", "spot", F.explode("keys").alias("key"))
     recurring = (
         held.groupBy("key")
-        .agg(F.count("*").alias("docs"), F.min("id").alias("first"))
-        .where(F.col("docs") >= min_docs)
-        .select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .agg(F.count("*").alias("rows"), F.min("id").alias("first"))
+        .where(F.col("rows") >= min_docs)
     )
     drops = (
-        held.withColumn("salt", F.pmod(F.xxhash64("id", "spot"), F.lit(SALTS)).cast("int"))
-        .join(recurring, ["key", "salt"])
+        met(held, recurring, "template-recurring")
         .where("id > first")
         .groupBy("id", "spot")
-        .agg(F.collect_set("key").alias("template_drops"))
-        .select(F.col("id").alias("template_id"), F.col("spot").alias("template_spot"), "template_drops")
+        .agg(F.collect_set("key").alias("keys"))
     )
-    joined = kept.join(
-        drops, (row_id == F.col("template_id")) & (row_spot == F.col("template_spot")), "left"
-    ).select(*[F.col(f"`{c}`") for c in kept.columns], "template_drops")
+    joined = beside(kept, drops, place)
     counts = [T.StructField(c, T.LongType()) for c in ("template_lines", "template_dropped")]
     schema = T.StructType([*kept.schema.fields, *counts])
     at = kept.columns.index(text_col)
@@ -108,7 +116,8 @@ def without_recurring(
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines, dropped = [], [], []
-            for text, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            columns = batch.column(0).flatten()
+            for text, drop in zip(columns[at].to_pylist(), batch.column(1).to_pylist()):
                 whole = [] if text is None else text.split("\n")
                 stay = whole
                 if drop:
@@ -117,8 +126,8 @@ def without_recurring(
                 texts.append(text if text is None or len(stay) == len(whole) else "\n".join(stay))
                 lines.append(len(whole))
                 dropped.append(len(whole) - len(stay))
-            columns = [*batch.columns[:-1], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
             columns[at] = pa.array(texts, pa.string())
+            columns += [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return joined.mapInArrow(clean, schema)
