@@ -337,11 +337,14 @@ def delivered_twice(spark, folder):
     docs = tables.table(spark, folder, "documents")
     named = F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source")
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    schema = "doc_id bigint, source string, text string"
     for turn in ("first", "second"):
         docs.select("doc_id", named, "text").write.mode("append").parquet(f"{path}/arrived")
         if turn == "first":
+            # as many files a batch as one delivery has, so that batches are as many as deliveries, whatever the size
+            files_each = len(spark.read.schema(schema).parquet(f"{path}/arrived").inputFiles())
             docs.where("doc_id % 3 = 0").select("doc_id", named, "text").write.mode("append").parquet(f"{path}/arrived")
-        arriving = spark.readStream.schema("doc_id bigint, source string, text string").option("maxFilesPerTrigger", 1)
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, files_each))
         running = record_stream(
             arriving.parquet(f"{path}/arrived"), at, f"{path}/ledger", f"{path}/checkpoint", once_within="1 day"
         )
