@@ -7,9 +7,11 @@ scored by gradient-boosted trees over their form and the words before them, and
 added where the score reaches a calibrated threshold.  Everything is made of
 built-in functions: the trees, once fitted, are an expression too.
 
-* The trees learn from at most ``4 * limit`` candidates (the least hashes of id and
-  start) of at most ``limit`` documents (the least id hashes): a candidate is
-  positive where a base finding overlaps it.  The
+* The trees learn from all candidates of all documents: a candidate is positive
+  where a base finding overlaps it.  Candidates of one form are one example with
+  their number as weight.  With a ``limit`` they learn from at most ``4 * limit``
+  candidates (the least hashes of id and start) of at most ``limit`` documents (the
+  least id hashes).  The
   features leave out what the tests look at, so the trees judge by form and
   context alone.  The threshold is the least that keeps ``PRECISION`` on the
   quarter kept out of training; without one, or without both classes, nothing is
@@ -204,17 +206,13 @@ class Trees:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(reduce(lambda a, b: a + b, parts) * -2.0))
 
 
-def fit(documents: DataFrame, limit: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
-    ids = (
-        documents.select(F.col(id_col).alias("sample_id"))
-        .where("sample_id IS NOT NULL")
-        .orderBy(F.xxhash64("sample_id"), "sample_id")
-        .limit(limit)
-        .distinct()
-    )
+def fit(documents: DataFrame, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
     texts = documents.select(
-        F.col(id_col).alias("sample_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).join(F.broadcast(ids), "sample_id")
+        F.col(f"`{id_col}`").alias("sample_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    )
+    if limit is not None:
+        ids = texts.select("sample_id").where("sample_id IS NOT NULL").orderBy(F.xxhash64("sample_id"), "sample_id")
+        texts = texts.join(F.broadcast(ids.limit(limit).distinct()), "sample_id")
     proposed = computed_once(texts, "candidates", candidates(F.col("text"))).where("size(candidates) > 0")
     marked = F.transform(
         "candidates",
@@ -226,31 +224,36 @@ def fit(documents: DataFrame, limit: int = 6000, id_col: str = "doc_id", text_co
         ),
     )
     order = [*FEATURES, "label", "apart"]
-    examples = written(
+    every = (
         computed_once(proposed, "base", base_spans(F.col("text")))
         .select(F.explode(marked).alias("x"))
         .select("x.spot", "x.label", "x.apart", "x.row.*")
-        .orderBy("spot", *order)  # a sample of all lengths and kinds
-        .limit(4 * limit)
-        .drop("spot")
-        .sortWithinPartitions(*order),  # one partition; reruns learn from the same rows in the same order
+    )
+    if limit is not None:
+        every = every.orderBy("spot", *order).limit(4 * limit)  # a sample of all lengths and kinds
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    examples = written(
+        every.groupBy(*order)
+        .agg(F.count("*").cast("double").alias("n"))
+        .repartition(tasks, *order)
+        .sortWithinPartitions(*order),  # reruns learn from the same rows in the same order
         "personal-examples",
     )
     classes = {
-        (row.apart, row.label): row["count"] for row in examples.groupBy("apart", "label").count().collect()
+        (row.apart, row.label): row.n for row in examples.groupBy("apart", "label").agg(F.sum("n").alias("n")).collect()
     }  # four rows at most
     if any(classes.get((apart, label), 0) < 2 for apart in (True, False) for label in (0.0, 1.0)):
         return None
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(examples.where("NOT apart"))
     fitted = GBTClassifier(
-        featuresCol="vector", labelCol="label", maxIter=6, maxDepth=3, maxBins=16, seed=5
-    ).fit(assembled.select("vector", "label"))
+        featuresCol="vector", labelCol="label", weightCol="n", maxIter=6, maxDepth=3, maxBins=16, seed=5
+    ).fit(assembled.select("vector", "label", "n"))
     trees = Trees([tree._java_obj.rootNode() for tree in fitted.trees], list(fitted.treeWeights))
     row = F.struct(*[F.col(name) for name in FEATURES])
     steps = (
         examples.where("apart")
         .groupBy(F.floor(trees.score(row) * STEPS).alias("step"))
-        .agg(F.count("*").alias("n"), F.sum("label").alias("good"))
+        .agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good"))
         .orderBy(F.desc("step"))
         .collect()
     )  # at most STEPS + 1 rows
@@ -264,7 +267,7 @@ def fit(documents: DataFrame, limit: int = 6000, id_col: str = "doc_id", text_co
 
 def found(
     documents: DataFrame,
-    limit: int = 6000,
+    limit: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     spans_col: str = "personal_spans",

@@ -330,3 +330,17 @@ def test_secrets_keep_their_recall():
     hidden = draw.integers(0, 12, (400, 64)).astype(np.uint8)
     other = keys.bounded(net, hidden, label)
     assert other.threshold < 0.5 and abs(other.score(hidden).mean() - label.mean()) < 0.05
+
+
+def test_personal_learns_from_every_document(spark, monkeypatch):
+    seen = []
+    write = pii.written
+
+    def kept(frame, purpose):
+        seen.append(write(frame, purpose))
+        return seen[-1]
+
+    monkeypatch.setattr(pii, "written", kept)
+    docs = spark.range(6100).selectExpr("id AS doc_id", "concat('no. 1234-', CAST(10000 + id AS STRING), ' x') AS text")
+    assert pii.fit(docs) is None  # one class only
+    assert seen[0].agg({"n": "sum"}).first()[0] == 6100
