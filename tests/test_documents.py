@@ -298,3 +298,12 @@ def test_json_too_long_to_read(spark):
     assert (row.success, row.error, row.extracted_fields) == (False, json_docs.JSON_TOO_LONG, "{}")
     row = only(classify.classify(frame, keep=["source"]))
     assert (row.format, row.target_agent) == ("json", "json_agent")
+
+
+def test_a_condition_on_the_schema_repeats_no_extraction(spark):
+    frame = spark.createDataFrame([("1", INVOICE)], "doc_id string, text string")
+    found = json_docs.extract_json(frame).filter("detected_schema = 'invoice'")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("variant_get" in line for line in filters)
+    assert found.count() == 1
