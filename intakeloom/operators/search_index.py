@@ -43,16 +43,23 @@ def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
+def postings(records: DataFrame) -> DataFrame:
+    """``gram, record``; a record that comes more than once repeats its own, which a search counts once.
+
+    So nothing meets here: postings are many times the records.
+    """
+    found = F.array_distinct(F.flatten(F.array(*[grams(F.col(c)) for c in SEARCHED])))
+    return records.select(F.explode(found).alias("gram"), _record().alias("record"))
+
+
 def add(records: DataFrame, path: str, batch: str) -> None:
     """Write the postings of a batch of records; a batch of the same name is replaced.
 
     Every version of a record is added: a search finds it by any of them and
     looks at the latest.
     """
-    found = F.array_distinct(F.flatten(F.array(*[grams(F.col(c)) for c in SEARCHED])))
-    postings = records.select(F.explode(found).alias("gram"), _record().alias("record")).distinct()
     # a range for each task, so a frequent triple is in several files and a rare one in one
-    dealt = postings.withColumn("bucket", _bucket(F.col("gram"))).repartitionByRange("bucket", "gram", "record")
+    dealt = postings(records).withColumn("bucket", _bucket(F.col("gram"))).repartitionByRange("bucket", "gram", "record")
     dealt.sortWithinPartitions("bucket", "gram", "record").write.mode("overwrite").partitionBy("bucket").parquet(
         f"{path}/batch={batch}"
     )

@@ -287,3 +287,13 @@ def test_lookup_by_id_skips_row_groups(spark):
     assert scanned("8" + "0" * 63) == (0, 0)
     found, read = scanned(hit)
     assert found == 1 and 0 < read < 20000
+
+
+def test_postings_do_not_meet_before_they_are_dealt_out(spark):
+    rows = [("1", "a.txt", "order", "{}", "ann"), ("1", "a.txt", "order", "{}", "ann")]
+    frame = spark.createDataFrame(rows, "id string, source string, intent string, extracted_fields string, sender string")
+    found = search_index.postings(frame)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    # of a record that came twice every triple is held once
+    index = found.withColumn("bucket", search_index._bucket(F.col("gram")))
+    assert search_index.candidates(index, ["ord", "der"]).count() == 1
