@@ -45,3 +45,9 @@ def test_letters_are_dealt_out_before_their_texts_are_made(spark, folder):
     letters = views.view(spark, folder, "letters")
     assert letters.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert letters.count() == 4
+
+
+def test_lines_move_as_days_and_whole_numbers(spark, folder):
+    plan = views.view(spark, folder, "jsons")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join"):]
+    assert "as date) AS l_shipdate" in below and "as bigint) AS l_quantity" in below
