@@ -80,10 +80,13 @@ def quarantine(checked: DataFrame, path: str, batch: str) -> None:
     """Write what is known of refused files, one folder for each reason.
 
     The tests read names and sizes alone, so no content is read for it.  A batch
-    of the same name is replaced.
+    of the same name is replaced.  A scan has a partition for every few dozen files;
+    they are tested and written by no more tasks than a shuffle has, as each task
+    writes a file for each reason.
     """
     known = quarantined(checked).select("doc_id", "source", "file_size", "file_type", "mime_type", "errors", "reason")
-    known.write.mode("overwrite").partitionBy("reason").parquet(f"{path}/batch={batch}")
+    tasks = int(checked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known.coalesce(tasks).write.mode("overwrite").partitionBy("reason").parquet(f"{path}/batch={batch}")
 
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:

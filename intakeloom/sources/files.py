@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from intakeloom.functions import names
 from intakeloom.functions.text import decode, text_encoding
 
+# Subfolders that written files are dealt over.
+SUBFOLDERS = 256
+
 # The scan's schema, which a stream has to be told.
 BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -39,8 +42,13 @@ def _target(path: str) -> str:
 
 
 def _empty_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """Files without a byte; a task lists the folder and passes on only these."""
+    """Files without a byte; tasks list a folder below the path each and pass on only these."""
+    from pyarrow import fs
+
     target = _target(path)
+    system, root = fs.FileSystem.from_uri(target)
+    below = [x.path for x in system.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory]
+    folders = spark.createDataFrame([(root, False), *[(x, True) for x in below]], "folder string, recursive boolean")
 
     def run(batches: Iterator) -> Iterator:
         from fnmatch import fnmatchcase
@@ -49,9 +57,9 @@ def _empty_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
         from pyarrow import fs
 
         schema = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary())])
-        for _ in batches:
-            system, root = fs.FileSystem.from_uri(target)
-            listed = system.get_file_info(fs.FileSelector(root, recursive=True))
+        system, _ = fs.FileSystem.from_uri(target)
+        for folder, recursive in (pair for batch in batches for pair in zip(*batch.to_pydict().values(), strict=True)):
+            listed = system.get_file_info(fs.FileSelector(folder, recursive=recursive))
             found = [
                 (target.replace(root, "", 1) + x.path if "://" in target else f"file:{x.path}", x.mtime, 0, b"")
                 for x in listed
@@ -61,7 +69,7 @@ def _empty_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
             columns = zip(*found) if found else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return spark.range(1, numPartitions=1).mapInArrow(run, BINARY_FILE_SCHEMA)
+    return folders.mapInArrow(run, BINARY_FILE_SCHEMA)
 
 
 def scan_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -123,24 +131,32 @@ def write_files(docs: DataFrame, path: str, name: str = "source", content: str =
     Spark's writers give files their own names, so tasks write these through the
     file system of ``path``, which all executors must share.  A file appears
     whole under its name, also where a task runs twice; rows of one name leave
-    one file.
+    one file.  Files lie in subfolders by a hash of their name, so that tasks can
+    share the listing of them.
     """
     target = _target(path)
 
     def run(batches: Iterator) -> Iterator:
         import uuid
+        from zlib import crc32
 
         import pyarrow as pa
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(target)
         system.create_dir(root, recursive=True)
+        made = set()
         for batch in batches:
             for file, data in zip(batch.column(0), batch.column(1), strict=True):
-                part = f"{root}/.{uuid.uuid4().hex}"
+                name = str(file.as_py())
+                folder = f"{root}/{crc32(name.encode()) % SUBFOLDERS:03d}"
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
                     out.write(data.as_buffer())
-                system.move(part, f"{root}/{file.as_py()}")
+                system.move(part, f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["files"])
 
     rows = docs.select(F.col(name).alias("name"), F.coalesce(content, F.lit(b"")).alias("content"))

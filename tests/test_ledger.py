@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from intakeloom.operators import ledger, search_index
+from intakeloom.operators import admission, ledger, search_index
 from intakeloom.plans.intake import ledger_rows, route_and_extract
 from intakeloom.session import shared_folder
 from intakeloom.sources import files
@@ -297,3 +297,29 @@ def test_postings_do_not_meet_before_they_are_dealt_out(spark):
     # of a record that came twice every triple is held once
     index = found.withColumn("bucket", search_index._bucket(F.col("gram")))
     assert search_index.candidates(index, ["ord", "der"]).count() == 1
+
+
+def test_refused_files_of_many_partitions_are_kept_in_few(spark, tmp_path):
+    rows = spark.range(64).repartition(64).selectExpr(
+        "CAST(id AS STRING) AS doc_id", "concat('f', id, '.bin') AS source", "id % 2 AS file_size"
+    )
+    admission.quarantine(admission.check_files(rows), str(tmp_path), "b")
+    kept = admission.read_quarantine(spark, str(tmp_path))
+    assert {row.reason: row["count"] for row in kept.groupBy("reason").count().collect()} == {"empty": 32, "extension": 32}
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(list(tmp_path.glob("batch=b/reason=*/*.parquet"))) <= 2 * tasks
+
+
+def test_written_files_lie_in_folders_and_are_found_there_and_above(spark, tmp_path):
+    (tmp_path / "above.txt").write_bytes(b"")
+    (tmp_path / "read.txt").write_bytes(b"x")
+    docs = spark.range(60).selectExpr("concat('f', id, '.txt') AS source", "CASE WHEN id % 3 > 0 THEN CAST('ab' AS BINARY) END AS content")
+    assert files.write_files(docs, str(tmp_path)) == 60
+    assert len([x for x in tmp_path.iterdir() if x.is_dir()]) > 1
+    found = files.scan(spark, str(tmp_path), with_empty=True)
+    sizes = {row.source: row.file_size for row in found.select("source", "file_size").collect()}
+    assert found.count() == 62
+    assert sizes == {f"f{k}.txt": 2 if k % 3 else 0 for k in range(60)} | {"above.txt": 0, "read.txt": 1}
+    # a name written again leaves one file
+    files.write_files(docs.limit(1), str(tmp_path))
+    assert files.scan(spark, str(tmp_path), with_empty=True).count() == 62
