@@ -204,13 +204,16 @@ def apart(hashes: list[int], label: np.ndarray) -> np.ndarray:
     return out
 
 
-def calibrated(margin: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+def calibrated(
+    margin: np.ndarray, label: np.ndarray, rounds: int = 60, count: np.ndarray | None = None
+) -> tuple[float, float]:
     """Slope and shift of the logistic curve that fits labels to margins (Newton's method).
 
     The targets are drawn in as usual for few examples.  With one class only the
-    margin stays as it is.
+    margin stays as it is.  ``count``: how many examples each row stands for, else one.
     """
-    high, low = label.sum(), (1 - label).sum()
+    times = np.ones(len(label)) if count is None else count
+    high, low = (label * times).sum(), ((1 - label) * times).sum()
     if not high or not low:
         return 1.0, 0.0
     wanted = np.where(label > 0, (high + 1) / (high + 2), 1 / (low + 2))
@@ -219,8 +222,8 @@ def calibrated(margin: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple
     fit = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
-        gradient = x.T @ (p - wanted) + 1e-4 * fit
-        curve = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-4 * np.eye(2)
+        gradient = x.T @ ((p - wanted) * times) + 1e-4 * fit
+        curve = (x * ((p * (1 - p) + 1e-9) * times)[:, None]).T @ x + 1e-4 * np.eye(2)
         step = np.linalg.solve(curve, gradient)
         fit = fit - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-7:

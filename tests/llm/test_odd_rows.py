@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeats, ties, empty tables and clashing names."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import tiktoken
@@ -332,6 +333,61 @@ def test_secrets_keep_their_recall():
     assert other.threshold < 0.5 and abs(other.score(hidden).mean() - label.mean()) < 0.05
 
 
+def test_secrets_learn_from_every_window(spark, monkeypatch):
+    """All candidates of all rows are trained on, copies too, however small ``limit``; one row more is another network."""
+    seen = []
+    write = keys.written
+
+    def kept(frame, purpose):
+        seen.append(write(frame, purpose))
+        return seen[-1]
+
+    monkeypatch.setattr(keys, "written", kept)
+    draw = np.random.default_rng(6)
+
+    def word(size):
+        return "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), size))
+
+    texts = [f"password = '{word(6)}{k}' was sent to {word(5)}.example.com by {word(12)}" for k in range(200)]
+    texts += ["the same correspondence twice"] * 2 + [None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    net = keys.fit(frame, limit=30)
+    every = [keys.windows(text, keys.marked(text)[0]) for text in texts if text]
+    assert Counter(bytes(row.window) for row in seen[0].select("window").collect()) == Counter(
+        code.tobytes() for codes in every for code in codes
+    )
+    fewer = keys.fit(frame.where("doc_id <> 77"), limit=30)
+    assert abs(net.filters - fewer.filters).max() > 1e-4
+
+
+def test_secrets_gradient():
+    """The sum over windows is the slope of their weighed loss, with and without the letters before."""
+    draw = np.random.default_rng(5)
+    codes = draw.integers(0, 61, (300, 64)).astype(np.uint8)
+    label, weight = (np.arange(300) % 3 == 0).astype(float), draw.random(300) / 300
+    hidden = np.arange(300) % 2 == 1
+    net = keys.Network(draw.normal(0, 0.3, (4, 61, 16)), draw.normal(0, 0.3, 16), draw.normal(0, 0.3, 16), 0.1)
+    slope = net.gradient(codes, label, weight, hidden)
+    shown = codes.copy()
+    before = shown[:, : keys.BEFORE]
+    before[hidden[:, None] & (before > 0) & (before <= 52)] = keys._LETTER
+
+    def loss():
+        chance = keys._logistic(net.margins(shown))
+        return -(weight * np.where(label > 0, np.log(chance), np.log(1 - chance))).sum()
+
+    places = [(net.filters, (k, 9, f)) for k in range(4) for f in (0, 7)] + [(net.offsets, (3,)), (net.outputs, (5,))]
+    got = [slope[(k * 61 + 9) * 16 + f] for k in range(4) for f in (0, 7)] + [slope[-33 + 3], slope[-17 + 5]]
+    for (values, at), found in zip(places, got):
+        old, sides = values[at], []
+        for step in (1e-4, -1e-4):
+            values[at] = old + step
+            sides.append(loss())
+        values[at] = old
+        assert abs((sides[0] - sides[1]) / 2e-4 - found) < 1e-5
+    assert np.abs(net.margins(codes)).max() <= net.reach()
+
+
 def test_personal_learns_from_every_document(spark, monkeypatch):
     seen = []
     write = pii.written
