@@ -64,10 +64,10 @@ _FOLDED = "\u212a\u017f\u0130\u0131"  # outside ASCII, and yet letters of names
 BEFORE, INSIDE, AFTER = 24, 32, 8
 WIDTH, FILTERS = 4, 16
 RECALL, LEAST = 0.98, 20
-STEPS, PARTS, BATCH = 32, 16, 4096  # a kind has as many parts as leave ``BATCH`` windows in each
+STEPS, PARTS, BATCH = 32, 32, 4096  # a kind has as many parts as leave ``BATCH`` windows in each
 RATE = 0.05
 BINS = 1 << 17
-CHUNK, FLUSH = 256, 1 << 17  # windows looked at together, and written together
+CHUNK, FLUSH = 128, 1 << 18  # windows looked at together, and written together
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -368,7 +368,10 @@ def _windows(documents: DataFrame, text_col: str) -> DataFrame:
 
 
 def _codes(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("window").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    column = batch.column("window")
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
 
 
 def _trained(windows: DataFrame, counts: dict[tuple[int, int], int], limit: int) -> Network:
@@ -448,21 +451,37 @@ def _bounded(net: Network, margin: np.ndarray, label: np.ndarray, count: np.ndar
 
 def spans(texts: list[str | None], net: Network | None) -> list[list[Span]]:
     """All findings of each text: base spans and what the network adds."""
-    found = []
-    for text in texts:
-        base = base_spans(text or "")
-        added: list[Span] = []
-        if net is not None:
-            places = candidates(text or "")
-            if base:
-                whole = Covered([(a, b) for a, _, b in base])
-                places = [(s, e) for s, e in places if not whole.overlaps(s, e)]
-            for at in range(0, len(places), 8192):
-                some = places[at : at + 8192]
-                scores = net.score(windows(text or "", some))
-                added += [(some[k][0], 3, some[k][1]) for k in np.flatnonzero(scores >= net.threshold)]
-        found.append(sorted(base + added))
-    return found
+    found = [base_spans(text or "") for text in texts]
+    if net is None:
+        return found
+    added: list[tuple[int, int, int]] = []  # row, start, end
+    held: list[tuple[int, list[tuple[int, int]], np.ndarray]] = []  # windows of several texts are scored together
+    size = 0
+
+    def score() -> None:
+        good = np.flatnonzero(net.score(np.concatenate([codes for _, _, codes in held])) >= net.threshold)
+        if len(good):
+            places = [(row, start, end) for row, some, _ in held for start, end in some]
+            added.extend(places[k] for k in good)
+        held.clear()
+
+    for row, (text, base) in enumerate(zip(texts, found)):
+        places = candidates(text or "")
+        if base:
+            whole = Covered([(a, b) for a, _, b in base])
+            places = [(s, e) for s, e in places if not whole.overlaps(s, e)]
+        for at in range(0, len(places), 8192):
+            some = places[at : at + 8192]
+            held.append((row, some, windows(text or "", some)))
+            size += len(some)
+            if size >= 8192:
+                score()
+                size = 0
+    if held:
+        score()
+    for row, start, end in added:
+        found[row].append((start, 3, end))
+    return [sorted(row) for row in found]
 
 
 def written_out(found: list[Span]) -> str:
