@@ -5,8 +5,8 @@ of key-like signs: from eight signs on, and from six after a name that speaks of
 keys; letters or digits alone will do.  A convolutional network in numpy
 reads each with the signs around it.  It is trained on labelled findings: of the
 candidates of all rows, those that the value of a base finding overlaps are positive
-and seen as their context and form show them (every other time without the
-letters before, which would name the format).  Its scores are calibrated on the
+and seen as their context and form show them (in a step half of the windows
+without the letters before, which would name the format).  Its scores are calibrated on the
 quarter kept out of training, and its threshold is the highest that keeps
 ``RECALL`` of the findings in that quarter, be it below one half.
 
