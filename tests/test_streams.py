@@ -70,3 +70,36 @@ def test_late_replies_share_the_mails_and_join_once_a_batch(spark, tmp_path, mon
     first = started[0].recentProgress[0]
     join = next(s for s in first["stateOperators"] if s["operatorName"] == "symmetricHashJoin")
     assert join["numRowsTotal"] == 40 + answered.where("doc_id % 2 = 0").count()
+
+
+def test_late_replies_extract_once_and_hold_state_in_files(spark, tmp_path, monkeypatch):
+    from intakeloom.plans import intake as plan
+    from intakeloom.streaming import intake as streams
+
+    rows = [(k, k % 2, "FOP"[k % 3], f"{1 + k % 5}-HIGH", 1000.0 + k, datetime(2024, 1, 1)) for k in range(12)]
+    columns = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string, o_totalprice double, o_orderdate timestamp"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/orders.parquet")
+    people = spark.createDataFrame([(k, f"Customer#{k}") for k in range(2)], "c_custkey bigint, c_name string")
+    people.write.parquet(f"{tmp_path}/customer.parquet")
+    extracted, started = [], []
+
+    def counted(*args, **kwargs):
+        extracted.append(kwargs)
+        return facts(*args, **kwargs)
+
+    def replied(*args, **kwargs):
+        started.append(reply(*args, **kwargs))
+        return started[-1]
+
+    facts, reply = plan.intake_facts, classify.reply_stream
+    monkeypatch.setattr(plan, "intake_facts", counted)
+    monkeypatch.setattr(streams, "intake_facts", counted)
+    monkeypatch.setattr(classify, "reply_stream", replied)
+    before = {name: spark.conf.get(name, None) for name in streams.STATE_SETTINGS}
+    found = QUERIES["c09_late_replies"](spark, str(tmp_path)).collect()
+    wanted = {row.doc_id for row in view(spark, str(tmp_path), "replies").where("response IS NOT NULL").collect()}
+    assert len(found) == 12 and {int(re.sub(r"\D", "", row.source)) for row in found if row.version == 2} == wanted
+    assert len(extracted) == 1  # by the stream that records
+    states = started[0].recentProgress[0]["stateOperators"]
+    assert states and all(any(name.startswith("rocksdb") for name in s["customMetrics"]) for s in states)
+    assert {name: spark.conf.get(name, None) for name in streams.STATE_SETTINGS} == before
