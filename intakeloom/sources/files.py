@@ -14,6 +14,9 @@ from intakeloom.functions.text import decode, text_encoding
 # Subfolders that written files are dealt over.
 SUBFOLDERS = 256
 
+# Bytes of files that a reading task passes on at once, or a file.
+BATCH_BYTES = 16 * 2**20
+
 # The scan's schema, which a stream has to be told.
 BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -21,9 +24,12 @@ BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, co
 def scan(spark: SparkSession, path: str, glob: str = "*", with_empty: bool = False) -> DataFrame:
     """Files as rows; content is read only by queries that use it.
 
-    Spark's file sources leave out files without a byte.  ``with_empty`` adds
-    them from a listing of names and sizes, so that they can be refused.
+    Spark's file sources leave out files without a byte, and the driver holds the
+    names and sizes of all files.  ``with_empty`` has tasks list the folders below the
+    path: files without a byte can be refused, and the driver holds no file.
     """
+    if with_empty:
+        return described(_listed(spark, path, glob))
     files = (
         spark.read.schema(BINARY_FILE_SCHEMA)
         .format("binaryFile")
@@ -31,8 +37,6 @@ def scan(spark: SparkSession, path: str, glob: str = "*", with_empty: bool = Fal
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    if with_empty:
-        files = files.unionByName(_empty_files(spark, path, glob))
     return described(files)
 
 
@@ -41,35 +45,85 @@ def _target(path: str) -> str:
     return re.sub("^file:/+", "/", path)
 
 
-def _empty_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """Files without a byte; tasks list a folder below the path each and pass on only these."""
+def _name_pattern(glob: str) -> str:
+    """The regular expression of a pattern of names as Spark's ``pathGlobFilter`` reads it."""
+    out, depth, at = "", 0, 0
+    while at < len(glob):
+        sign = glob[at]
+        end = glob.find("]", at + 2) if sign == "[" else -1
+        if sign == "\\" and at + 1 < len(glob):
+            at += 1
+            out += re.escape(glob[at])
+        elif end > 0:
+            inside = glob[at + 1 : end]
+            out += f"[^{inside[1:]}]" if inside[0] in "!^" else f"[{inside}]"
+            at = end
+        elif sign in "*?":
+            out += ".*" if sign == "*" else "."
+        elif sign == "{":
+            out, depth = f"{out}(?:", depth + 1
+        elif sign in ",}" and depth:
+            out, depth = out + ("|" if sign == "," else ")"), depth - (sign == "}")
+        else:
+            out += re.escape(sign)
+        at += 1
+    return out
+
+
+def _listed(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """All files below a path: tasks list a folder each, then share the files by their paths and read them."""
     from pyarrow import fs
 
-    target = _target(path)
+    target, pattern = _target(path), _name_pattern(glob)
     system, root = fs.FileSystem.from_uri(target)
+    before = target.replace(root, "", 1) if "://" in target else "file:"
     below = [x.path for x in system.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory]
     folders = spark.createDataFrame([(root, False), *[(x, True) for x in below]], "folder string, recursive boolean")
 
-    def run(batches: Iterator) -> Iterator:
-        from fnmatch import fnmatchcase
+    def listing(batches: Iterator) -> Iterator:
+        import re
 
         import pyarrow as pa
         from pyarrow import fs
 
-        schema = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary())])
+        def is_data(name: str) -> bool:
+            # as in Spark's listing
+            return not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+        schema = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64())])
         system, _ = fs.FileSystem.from_uri(target)
+        wanted = re.compile(pattern, re.DOTALL)
         for folder, recursive in (pair for batch in batches for pair in zip(*batch.to_pydict().values(), strict=True)):
-            listed = system.get_file_info(fs.FileSelector(folder, recursive=recursive))
             found = [
-                (target.replace(root, "", 1) + x.path if "://" in target else f"file:{x.path}", x.mtime, 0, b"")
-                for x in listed
-                # as in Spark's listing, names that begin so are no data
-                if x.is_file and not x.size and x.base_name[0] not in "._" and fnmatchcase(x.base_name, glob)
+                # Spark has times in milliseconds
+                (before + x.path, x.mtime_ns // 1_000_000 * 1000, x.size)
+                for x in system.get_file_info(fs.FileSelector(folder, recursive=recursive))
+                if x.is_file and wanted.fullmatch(x.base_name) and all(map(is_data, x.path[len(root) :].strip("/").split("/")))
             ]
-            columns = zip(*found) if found else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+            columns = zip(*found, strict=True) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return folders.mapInArrow(run, BINARY_FILE_SCHEMA)
+    def reading(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(target)
+        for paths in batches:
+            held, size = [], 0
+            for path in paths.to_pylist():
+                with system.open_input_stream(path[len(before) :]) as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= BATCH_BYTES:
+                    yield pa.array(held, pa.binary())
+                    held, size = [], 0
+            yield pa.array(held, pa.binary())
+
+    content = F.arrow_udf(reading, "binary", F.ArrowUDFType.SCALAR_ITER)
+    files = folders.mapInArrow(listing, "path string, modificationTime timestamp, length bigint")
+    # narrow rows, dealt out so that the largest folder is read by all tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, "path").withColumn("content", content("path"))
 
 
 def scan_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

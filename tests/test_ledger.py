@@ -323,3 +323,22 @@ def test_written_files_lie_in_folders_and_are_found_there_and_above(spark, tmp_p
     # a name written again leaves one file
     files.write_files(docs.limit(1), str(tmp_path))
     assert files.scan(spark, str(tmp_path), with_empty=True).count() == 62
+
+
+def test_scan_in_tasks_finds_what_spark_finds(spark, tmp_path, monkeypatch):
+    """Names, globs, hidden files and folders, contents in small batches; the driver lists no file, refused ones are not read."""
+    monkeypatch.setattr(files, "BATCH_BYTES", 5)
+    for k, name in enumerate(["a.txt", "b c#%.eml", "_hidden.txt", "_x=1.txt", ".dot", "in/d.txt", "in/deep/e.json", "_no/f.txt", "_k=v/g.txt", "in/h.txt._COPYING_", "in/[i].txt", "in/ü.pdf"]):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"%d " % k * k + b"\xe9")
+    (tmp_path / "in/empty.txt").write_bytes(b"")
+    for glob in ["*", "*.txt", "*.{txt,eml}", "?.txt", "[!a-c].txt", "[^d]*", "\\[i\\].txt", "{a,{d,e}}.*", "no*"]:
+        wanted = files.scan(spark, str(tmp_path), glob)
+        found = files.scan(spark, str(tmp_path), glob, with_empty=True)
+        assert found.columns == wanted.columns
+        assert sorted(found.where("file_size > 0").collect()) == sorted(wanted.collect()), glob
+    scanned = files.scan(spark, str(tmp_path), with_empty=True)
+    assert [tuple(r) for r in scanned.where("file_size = 0").select("source", "content").collect()] == [("empty.txt", b"")]
+    plan = plan_of(scanned)
+    assert "binaryFile" not in plan and "FileScan" not in plan and "ArrowEvalPython" in plan
+    assert "ArrowEvalPython" not in plan_of(admission.quarantined(admission.check_files(scanned)).select("doc_id", "reason"))
